@@ -30,11 +30,12 @@ LOWER[65:91] += 32
 
 def mix(x: np.ndarray) -> np.ndarray:
     """Spreads 64 bits; a bijection."""
-    x = x ^ (x >> _u(32))
-    x = x * _u(0xD6E8FEB86659FD93)
-    x = x ^ (x >> _u(32))
-    x = x * _u(0xD6E8FEB86659FD93)
-    return x ^ (x >> _u(32))
+    with np.errstate(over="ignore"):
+        x = x ^ (x >> _u(32))
+        x = x * _u(0xD6E8FEB86659FD93)
+        x = x ^ (x >> _u(32))
+        x = x * _u(0xD6E8FEB86659FD93)
+        return x ^ (x >> _u(32))
 
 
 BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _u(0x9FB21C651E98DF25))
