@@ -194,10 +194,11 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     met = docs.filter("doc_id is not null").mapInArrow(_symbols(window, parts), SHAPE)
     ranges = decided(met, shared, _ranges, "node long, ranges binary").groupBy("node").agg(F.collect_list("ranges").alias("ranges"))
     wanted = written(ranges.join(firsts.select("node", "digest", F.col("first").alias("doc_id")), "node").select("doc_id", "digest", "ranges"), "ranges")
-    windows = docs.join(sized(wanted, 600), "doc_id").mapInArrow(_windows(window, parts), SHAPE)
+    # the texts are shuffled once; only those with a shared symbol go on
+    held = written(docs.join(wanted, "doc_id"), "held")
+    windows = held.mapInArrow(_windows(window, parts), SHAPE)
     places = decided(windows, later, _places, "doc_id long, places binary").groupBy("doc_id").agg(F.collect_list("places").alias("places"))
-    places = written(places.join(wanted.select("doc_id", "digest"), "doc_id"), "places")
-    cut = written(docs.join(sized(places, 800), "doc_id").mapInArrow(_kept(window), "doc_id long, digest binary, removed long, kept string").distinct(), "cut")
+    cut = written(held.drop("ranges").join(places, "doc_id").mapInArrow(_kept(window), "doc_id long, digest binary, removed long, kept string").distinct(), "cut")
     copies = firsts.filter("other > first").select("digest", "first")
     out = texts.join(sized(copies, 48), "digest", "left").join(sized(cut, 200), ["doc_id", "digest"], "left")
     whole = (F.col("doc_id") > F.col("first")) & (F.col("n_words") >= window)
