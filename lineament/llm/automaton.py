@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lineament.llm.signature_tree import digest
-from lineament.llm.words import LOWER, NOT_ALNUM, Words, pieces
+from lineament.llm.words import LOWER, NOT_ALNUM, Words, bounded, pieces
 from lineament.plans.storage import sized, written
 
 WINDOW = 8
@@ -252,7 +252,7 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
     Columns beyond doc_id, text and item_id, text aren't read.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     parts = [docs.mapInArrow(_found(spark.sparkContext.broadcast(b), window), FOUND) for b in item_blocks(benchmark, block_words)]
     shape = FOUND + ", n_hit long"
     if len(parts) == 1:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lineament.llm.words import BYTE, Prefix, Words, mix, pieces
+from lineament.llm.words import BYTE, Prefix, Words, bounded, mix, pieces
 from lineament.plans.storage import sized, written
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
@@ -107,7 +107,7 @@ def judged(docs: DataFrame, text: str = "text", least_words: int = 50) -> DataFr
     c = {k: F.col("__" + k) for k in COUNTS}
     base = (c["n_words"] < least_words) | (100 * c["n_repeat_words"] > 50 * c["n_words"])
     soft = (10 * c["n_symbols"] > c["n_words"]) | (100 * c["n_dup_lines"] > 30 * c["n_lines"]) | (c["word_chars"] < 2 * c["n_words"]) | (c["word_chars"] > 15 * c["n_words"])
-    return docs.mapInArrow(_counted(docs.columns, text), shape).withColumn("__base_failed", base).withColumn("__soft_failed", soft)
+    return bounded(docs).mapInArrow(_counted(docs.columns, text), shape).withColumn("__base_failed", base).withColumn("__soft_failed", soft)
 
 
 def host_rates(rows: DataFrame, host: str = "source") -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lineament.llm.words import pieces
+from lineament.llm.words import bounded, pieces
 from lineament.plans.storage import partitions, written
 
 WINDOW, END_ID = 1024, 0
@@ -231,7 +231,7 @@ def packed(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int =
     no rows.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     cut = written(docs.mapInArrow(_cut(tokenizer, window, end_id, keep_ids), PIECE + (", ids array<int>" if keep_ids else "")), "pieces")
     by_bucket = 8 * partitions(spark)
     cut = cut.withColumn("__bucket", F.expr(f"pmod(xxhash64(doc_id, start, ids_crc32), {by_bucket})"))

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from lineament.llm.packed import SHAPE, Entries, bundles, decided, later, shared
 from lineament.llm.signature_tree import digest, node
-from lineament.llm.words import POWERS2, Prefix, Words, mix, pieces
+from lineament.llm.words import POWERS2, Prefix, Words, bounded, mix, pieces
 from lineament.plans.storage import partitions, sized, written
 
 WINDOW, ROUNDS = 50, 12
@@ -186,7 +186,7 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     takes them from no other.  Rows that repeat a doc_id don't take words from
     one another.  Further columns aren't read; an empty table gives no rows.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     parts = 4 * partitions(docs.sparkSession)
     texts = written(docs.mapInArrow(_texts, TEXT), "texts")
     long = texts.filter(F.col("doc_id").isNotNull() & (F.col("n_words") >= window))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lineament.llm.words import Prefix, Words, mix, pieces
+from lineament.llm.words import Prefix, Words, bounded, mix, pieces
 from lineament.operators.graph import components
 from lineament.plans.storage import partitions, sized, written
 
@@ -336,7 +336,7 @@ def jaccard_groups(docs: DataFrame, shingle: int = 3, percent: int = 90, cell_ro
     repeat a doc_id each get a row; they share a component.  Columns beyond
     doc_id and text aren't read.  An empty table gives no rows.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     spark = docs.sparkSession
     sets = written(docs.mapInArrow(_sets(shingle), SET), "sets")
     firsts = written(sets.filter("n_shingles > 0 and doc_id is not null").groupBy("digest", "node").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("other")), "firsts")

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lineament.llm.words import pieces
+from lineament.llm.words import bounded, pieces
 
 #: Distinct words whose counts a task keeps.
 KNOWN = 500_000
@@ -106,4 +106,4 @@ def token_counts(docs: DataFrame, model_path: str, text: str = "text") -> DataFr
     """
     names = [n for n in docs.columns if n != text]
     shape = docs.drop(text).schema.add("__n_pretokens", "long").add("__n_tokens", "long")
-    return docs.mapInArrow(_counted(model_path, names, text), shape)
+    return bounded(docs).mapInArrow(_counted(model_path, names, text), shape)

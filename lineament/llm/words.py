@@ -12,9 +12,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 #: Text bytes handled at a time, if a single text isn't longer.
-STEP = 2 << 20
+STEP = 1 << 19
+#: What an Arrow batch to Python may hold.
+BATCH_BYTES = 4 << 20
 
 _u = np.uint64
 BASE, BASE2 = _u(0x9E3779B97F4A7C15 | 1), _u(0xD1342543DE82EF95 | 1)
@@ -85,6 +88,12 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return body, off - off[0]
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """df, its session sending Python no more than BATCH_BYTES of a table's rows at a time (or one row)."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def pieces(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about STEP text bytes."""
     for batch in batches:
