@@ -12,12 +12,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from lineament.plans.storage import partitions
 
-#: Entries held before they are merged into what is known.
-HELD = 2_000_000
+#: Entries held before they are dealt out, or merged into what is known.
+HELD = 400_000
 SHAPE = "pid long, names binary, owners binary, payloads binary, decided binary"
 _u = np.uint64
 
@@ -76,6 +76,16 @@ def later(e: Entries) -> tuple[Entries, Entries]:
     return e.take(np.flatnonzero(~least)), e.take(np.flatnonzero(least))
 
 
+def star(e: Entries) -> tuple[Entries, Entries]:
+    """(decided, undecided): (first owner, other owner) for all owners of a name, as owner and payload; the first owner stands for it."""
+    e, first, of = groups(e)
+    if not len(e):
+        return e, e
+    lead = e.owner[first][of]
+    other = np.flatnonzero(lead != e.owner)
+    return Entries(e.name[other], lead[other], e.owner[other]), e.take(first)
+
+
 Rule = Callable[[Entries], tuple[Entries, Entries]]
 
 
@@ -94,6 +104,24 @@ def bundles(e: Entries, rule: Rule, parts: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), *(pa.array(r, pa.binary()) for r in rows[1:])], names=["pid", "names", "owners", "payloads", "decided"])
 
 
+def parts_of(spark: SparkSession) -> int:
+    """Parts that names are dealt to; several go to a task, so that tasks get alike."""
+    return 16 * partitions(spark)
+
+
+def dealt(batches: Iterator[Entries], rule: Rule, parts: int) -> Iterator[pa.RecordBatch]:
+    """bundles() of a task's entries, HELD at a time."""
+    held, n = [], 0
+    for e in batches:
+        held.append(e)
+        n += len(e)
+        if n >= HELD:
+            yield bundles(joined(held), rule, parts)
+            held, n = [], 0
+    if held:
+        yield bundles(joined(held), rule, parts)
+
+
 def unpack(b: pa.RecordBatch) -> Iterator[tuple[Entries | None, tuple[np.ndarray, np.ndarray] | None]]:
     for n, o, p, d in zip(*(b.column(k).to_pylist() for k in ("names", "owners", "payloads", "decided"))):
         if n:
@@ -128,4 +156,4 @@ def decided(df: DataFrame, rule: Rule, give: Callable[[np.ndarray, np.ndarray],
         if held and len(out := merge()):
             yield give(out.owner, out.payload)
 
-    return df.repartition(partitions(df.sparkSession), "pid").mapInArrow(run, shape)
+    return df.repartition(4 * partitions(df.sparkSession), "pid").mapInArrow(run, shape)

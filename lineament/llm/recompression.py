@@ -23,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lineament.llm.packed import SHAPE, Entries, bundles, decided, later, shared
+from lineament.llm.packed import SHAPE, Entries, dealt, decided, later, parts_of, shared
 from lineament.llm.signature_tree import digest, node
 from lineament.llm.words import POWERS2, Prefix, Words, bounded, mix, pieces
-from lineament.plans.storage import partitions, sized, written
+from lineament.plans.storage import sized, written
 
 WINDOW, ROUNDS = 50, 12
 #: Low bits of a payload: a range's windows, or some bits of the text's digest.
@@ -94,7 +94,7 @@ def _texts(batches):
 
 
 def _symbols(window: int, parts: int):
-    def run(batches):
+    def entries(batches):
         for b in pieces(batches):
             w = Words(b.column("text"))
             names, at = w.names(), w.at
@@ -106,9 +106,9 @@ def _symbols(window: int, parts: int):
             lead = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (symbol[1:] != symbol[:-1]) | (row[1:] != row[:-1])]))
             size = np.diff(np.append(lead, len(start)))
             payload = ((start[lead] - at[row[lead]]) << TAG) | size  # windows that hold one symbol are fewer than a window's words
-            yield bundles(Entries(symbol[lead], keys[row[lead]], payload), shared, parts)
+            yield Entries(symbol[lead], keys[row[lead]], payload)
 
-    return run
+    return lambda batches: dealt(entries(batches), shared, parts)
 
 
 def _ranges(owner: np.ndarray, payload: np.ndarray) -> pa.RecordBatch:
@@ -122,7 +122,7 @@ def _ranges(owner: np.ndarray, payload: np.ndarray) -> pa.RecordBatch:
 def _windows(window: int, parts: int):
     """Entries of the windows within a row's ranges: (name, doc_id, place), a second name of the window folded into the first."""
 
-    def run(batches):
+    def entries(batches):
         for b in pieces(batches):
             w = Words(b.column("text"))
             names, at = w.names(), w.at.tolist()
@@ -141,9 +141,9 @@ def _windows(window: int, parts: int):
             s, row = np.concatenate(starts), np.concatenate(rows)
             name = mix(Prefix(names).name(s, s + window)) + Prefix(mix(names + _u(77)), POWERS2).name(s, s + window)
             ids = b.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-            yield bundles(Entries(mix(name), ids[row], ((s - np.array(at)[row]) << TAG) | np.concatenate(tags)), later, parts)
+            yield Entries(mix(name), ids[row], ((s - np.array(at)[row]) << TAG) | np.concatenate(tags))
 
-    return run
+    return lambda batches: dealt(entries(batches), later, parts)
 
 
 def _places(owner: np.ndarray, payload: np.ndarray) -> pa.RecordBatch:
@@ -187,7 +187,7 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     one another.  Further columns aren't read; an empty table gives no rows.
     """
     docs = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    parts = 4 * partitions(docs.sparkSession)
+    parts = parts_of(docs.sparkSession)
     texts = written(docs.mapInArrow(_texts, TEXT), "texts")
     long = texts.filter(F.col("doc_id").isNotNull() & (F.col("n_words") >= window))
     firsts = written(long.groupBy("digest", "node").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("other")), "firsts")

@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lineament.llm.packed import SHAPE, Entries, dealt, decided, parts_of, star
 from lineament.llm.words import Prefix, Words, bounded, mix, pieces
 from lineament.operators.graph import components
 from lineament.plans.storage import partitions, sized, written
@@ -128,41 +129,19 @@ def _sets(n: int):
 
 
 def _meetings(n: int, percent: int, parts: int):
-    def run(batches):
+    def entries(batches):
         for b in pieces(batches):
             value, at = shingle_sets(Words(b.column("text"), lower=True), n)
             key = np.array([node(digest(value[i:j])) for i, j in zip(at[:-1].tolist(), at[1:].tolist())], np.int64)
             name, row = meeting_names(value, at, percent)
-            pid = (name % _u(parts)).astype(np.int64)
-            order = np.argsort(pid, kind="stable")
-            name, key, pid = name[order], key[row[order]], pid[order]
-            cut = np.flatnonzero(np.concatenate([[True], pid[1:] != pid[:-1]])) if len(pid) else np.zeros(0, int)
-            ends = [*cut[1:].tolist(), len(pid)] if len(pid) else []
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(pid[cut], pa.int64()), pa.array([name[i:j].tobytes() for i, j in zip(cut.tolist(), ends)], pa.binary()), pa.array([key[i:j].tobytes() for i, j in zip(cut.tolist(), ends)], pa.binary())],
-                names=["pid", "names", "keys"],
-            )
+            yield Entries(name, key[row], np.zeros(len(row), np.int64))
 
-    return run
+    return lambda batches: dealt(entries(batches), star, parts)
 
 
-def _shared(batches):
-    """Stars over the distinct keys that share a name."""
-    names, keys = [], []
-    for b in batches:
-        names += [np.frombuffer(x, np.uint64) for x in b.column("names").to_pylist()]
-        keys += [np.frombuffer(x, np.int64) for x in b.column("keys").to_pylist()]
-    if not names:
-        return
-    name, key = np.concatenate(names), np.concatenate(keys)
-    del names, keys
-    order = np.lexsort((key, name))
-    name, key = name[order], key[order]
-    first = np.concatenate([[True], name[1:] != name[:-1]])
-    lead = key[np.maximum.accumulate(np.where(first, np.arange(len(name)), 0))]
-    pair = np.unique(np.stack([lead, key], 1)[lead != key], axis=0)
-    if len(pair):
-        yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
+def _stars(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    pair = np.unique(np.stack([a, b], 1), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
 
 
 class Tree:
@@ -340,9 +319,8 @@ def jaccard_groups(docs: DataFrame, shingle: int = 3, percent: int = 90, cell_ro
     spark = docs.sparkSession
     sets = written(docs.mapInArrow(_sets(shingle), SET), "sets")
     firsts = written(sets.filter("n_shingles > 0 and doc_id is not null").groupBy("digest", "node").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("other")), "firsts")
-    parts = 4 * partitions(spark)
-    met = docs.filter("doc_id is not null").mapInArrow(_meetings(shingle, percent, parts), "pid long, names binary, keys binary")
-    stars = met.repartition(partitions(spark), "pid").mapInArrow(_shared, "a long, b long")
+    met = docs.filter("doc_id is not null").mapInArrow(_meetings(shingle, percent, parts_of(spark)), SHAPE)
+    stars = decided(met, star, _stars, "a long, b long")
     cells = components(stars)
     members = written(firsts.select("digest", F.col("first").alias("doc_id"), "node").join(cells, "node").select("doc_id", "digest", F.col("component").alias("cell")), "members")
     counts = members.groupBy("cell").agg(F.count("*").alias("n"), F.min("doc_id").alias("hub"))
