@@ -99,14 +99,14 @@ def judged(docs: DataFrame, text: str = "text", least_words: int = 50) -> DataFr
     """docs with the columns __<count>, __base_failed and __soft_failed.
 
     Base: fewer than least_words words, or over half of the words in repeated
-    three-word windows.  Soft: more than one symbol for ten words, over 30 % of
-    the lines equal to an earlier one, or a mean word of under 2 or over 15
+    three-word windows.  Soft: more than one symbol for ten words, ten lines or more of which over 30 %
+    equal an earlier one, or a mean word of under 2 or over 15
     characters.  A null text has no words and fails.
     """
     shape = T.StructType([*docs.schema.fields, *(T.StructField("__" + c, T.LongType()) for c in COUNTS)])
     c = {k: F.col("__" + k) for k in COUNTS}
     base = (c["n_words"] < least_words) | (100 * c["n_repeat_words"] > 50 * c["n_words"])
-    soft = (10 * c["n_symbols"] > c["n_words"]) | (100 * c["n_dup_lines"] > 30 * c["n_lines"]) | (c["word_chars"] < 2 * c["n_words"]) | (c["word_chars"] > 15 * c["n_words"])
+    soft = (10 * c["n_symbols"] > c["n_words"]) | ((c["n_lines"] >= 10) & (100 * c["n_dup_lines"] > 30 * c["n_lines"])) | (c["word_chars"] < 2 * c["n_words"]) | (c["word_chars"] > 15 * c["n_words"])
     return bounded(docs).mapInArrow(_counted(docs.columns, text), shape).withColumn("__base_failed", base).withColumn("__soft_failed", soft)
 
 

@@ -14,7 +14,7 @@ c AS (SELECT w.doc_id, source, len(w) AS n_words, length(array_to_string(w, ''))
   length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dup, 0) AS n_dup_lines, coalesce(n_lines, 0) AS n_lines, coalesce(rep.n, 0) AS n_repeat_words
   FROM w LEFT JOIN rep USING (doc_id) LEFT JOIN lin USING (doc_id)),
 j AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-  10 * n_symbols > n_words OR 100 * n_dup_lines > 30 * n_lines OR word_chars < 2 * n_words OR word_chars > 15 * n_words AS soft_failed FROM c),
+  10 * n_symbols > n_words OR (n_lines >= 10 AND 100 * n_dup_lines > 30 * n_lines) OR word_chars < 2 * n_words OR word_chars > 15 * n_words AS soft_failed FROM c),
 h AS (SELECT source, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (WHERE base_failed OR soft_failed) AS DOUBLE) AS failed FROM j GROUP BY source),
 t AS (SELECT sum(n) AS rows_, sum(failed) AS fails, count(*) AS hosts, sum(failed * failed / n) AS squares FROM h),
 m AS (SELECT *, fails / rows_ AS mean, squares / rows_ - (fails / rows_) * (fails / rows_) - (fails / rows_) * (1 - fails / rows_) * hosts / rows_ AS between_ FROM t),
