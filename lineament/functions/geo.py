@@ -64,20 +64,6 @@ def ring_perimeter(pts: Column) -> Column:
     return length(F.concat(pts, F.slice(pts, 1, 1)))
 
 
-def cumulative(pts: Column) -> Column:
-    """Distance from the start at each vertex."""
-    return F.aggregate(pairs(pts), F.array(F.lit(0.0)), lambda a, s: F.concat(a, F.array(F.element_at(a, -1) + seg_length(s))))
-
-
-def at_distance(pts: Column, d: Column) -> Column:
-    """The point d along the line, clamped to its ends."""
-    ordered = F.arrays_zip(pairs(pts).alias("s"), F.slice(cumulative(pts), F.lit(1), F.greatest(F.size(pts) - 1, F.lit(0))).alias("c"))
-    inside = F.element_at(F.filter(ordered, lambda z: z["c"] <= F.greatest(d, F.lit(0.0))), -1)
-    t = F.least(F.coalesce(F.try_divide(F.greatest(d, F.lit(0.0)) - inside["c"], seg_length(inside["s"])), F.lit(0.0)), F.lit(1.0))
-    s = inside["s"]
-    return F.struct((s["x1"] + t * (s["x2"] - s["x1"])).alias("x"), (s["y1"] + t * (s["y2"] - s["y1"])).alias("y"))
-
-
 def segmentized(pts: Column, most: float) -> Column:
     """Vertices put in so that no segment is longer than `most`."""
     def steps(s):

@@ -62,36 +62,69 @@ def width_histogram(widths: DataFrame, bins: int = 10, least: float = 1e-6) -> D
     return binned.groupBy("line_id", "bin").agg(F.count("*").alias("n"), F.first(F.col("lo") + (F.col("bin") + 0.5) * step).alias("mid"))
 
 
-def substring(pts: Column, a: Column, b: Column) -> Column:
-    """The part of a line from distance a to distance b."""
-    inner = F.filter(F.arrays_zip(pts.alias("p"), geo.cumulative(pts).alias("c")), lambda z: (z["c"] > a) & (z["c"] < b))
-    return F.concat(F.array(geo.at_distance(pts, a)), F.transform(inner, lambda z: z["p"]), F.array(geo.at_distance(pts, b)))
-
-
-def cut_every(lines: DataFrame, distance: float, pts: str = "pts") -> DataFrame:
-    """lines with part and pts cut every `distance`; whole if it is no longer, or the rest would be under 1."""
-    total = geo.length(F.col(pts))
-    whole = (total <= distance) | (total % distance < 1)
-    starts = F.when(whole, F.array(F.lit(0.0))).otherwise(F.transform(F.sequence(F.lit(0), F.floor(total / distance).cast("int")), lambda i: i * F.lit(float(distance))))
-    parts = F.transform(starts, lambda s: F.when(whole, F.col(pts)).otherwise(substring(F.col(pts), s, F.least(s + distance, total))))
-    return lines.select(*(c for c in lines.columns if c != pts), F.posexplode(parts).alias("part", pts))
-
-
-def chords(lines: DataFrame, most: float, pts: str = "pts") -> DataFrame:
-    """Straight pieces between ceil(length / most) evenly spaced samples of each line, so one piece fewer; whole if that is under two."""
-    total = geo.length(F.col(pts))
-    n = F.ceil(total / most).cast("int")
-    at = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: geo.at_distance(F.col(pts), total * i / F.greatest(n - 1, F.lit(1))))
-    parts = F.when(n < 2, F.array(F.array(F.col(pts)[0], F.element_at(pts, -1)))).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.array(F.element_at(at, i), F.element_at(at, i + 1))))
-    return lines.select(*(c for c in lines.columns if c != pts), F.posexplode(parts).alias("part", pts))
-
-
-def samples(lines: DataFrame, step: float = 1.0, pts: str = "pts") -> DataFrame:
-    """(.., k, x, y): a point every step along each line, and its last vertex."""
-    total = geo.length(F.col(pts))
-    along = F.transform(F.sequence(F.lit(0), F.floor(total / step).cast("int")), lambda i: geo.at_distance(F.col(pts), i * F.lit(float(step))))
-    every = F.concat(along, F.array(F.element_at(pts, -1)))
-    return lines.select(*(c for c in lines.columns if c != pts), F.posexplode(every).alias("k", "p")).selectExpr(*(c for c in lines.columns if c != pts), "k", "p.x as x", "p.y as y")
+def measured(vertices: DataFrame) -> DataFrame:
+    """segments() with d, at, end and total: a segment's length, where it starts and ends along its line, and the line's length.
+
+    One shuffle by line; lines of no length are left out.
+    """
+    w = Window.partitionBy("line_id").orderBy("seg")
+    s = segments(vertices).withColumn("d", F.sqrt((F.col("x2") - F.col("x1")) ** 2 + (F.col("y2") - F.col("y1")) ** 2))
+    s = s.withColumn("end", F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("at", F.coalesce(F.lag("end").over(w), F.lit(0.0)))
+    s = s.withColumn("total", F.max("end").over(Window.partitionBy("line_id"))).withColumn("last", F.lead("seg").over(w).isNull())
+    return s.filter("total > 0")
+
+
+def _along(distance: Column) -> tuple[Column, Column]:
+    t = F.least(F.greatest(F.coalesce(F.try_divide(distance - F.col("at"), F.col("d")), F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
+    return F.col("x1") + t * (F.col("x2") - F.col("x1")), F.col("y1") + t * (F.col("y2") - F.col("y1"))
+
+
+def _range(low: Column, high: Column) -> Column:
+    """Whole numbers from low up to high, none if high is less."""
+    return F.explode(F.when(high >= low, F.sequence(low, high)))
+
+
+def at_shares(m: DataFrame, step: Column, count: Column) -> DataFrame:
+    """(line_id, k, x, y): the points k * step along each line, k below count; the last one is put on the line's end at most."""
+    low, high = F.ceil(F.col("at") / step), F.when(F.col("last"), count - 1).otherwise(F.least(F.ceil(F.col("end") / step), count) - 1)
+    x, y = _along(F.col("k") * step)
+    return m.withColumn("k", _range(low.cast("long"), high.cast("long"))).select("line_id", "k", x.alias("x"), y.alias("y"), "total")
+
+
+def midpoints(m: DataFrame) -> DataFrame:
+    """(line_id, x, y): half-way along each line."""
+    half = F.col("total") / 2
+    x, y = _along(half)
+    return m.filter((F.col("at") <= half) & ((half < F.col("end")) | F.col("last"))).select("line_id", x.alias("x"), y.alias("y"))
+
+
+def samples(m: DataFrame, step: float = 1.0) -> DataFrame:
+    """(line_id, k, x, y): a point every step along each line, and its last vertex after them."""
+    n = F.floor(F.col("total") / step) + 1
+    tail = m.filter("last").select("line_id", n.alias("k"), F.col("x2").alias("x"), F.col("y2").alias("y"))
+    return at_shares(m, F.lit(float(step)), n).drop("total").unionByName(tail)
+
+
+def cut_every(m: DataFrame, distance: float) -> DataFrame:
+    """(line_id, part, seg, x1, y1, x2, y2): segments cut where a new part begins, every `distance` along the line.
+
+    A line is left whole if it is no longer, or its rest would be under 1.
+    """
+    d = F.lit(float(distance))
+    whole = (F.col("total") <= d) | (F.col("total") % d < 1)
+    low, high = F.floor(F.col("at") / d), F.greatest(F.ceil(F.col("end") / d) - 1, F.floor(F.col("at") / d))
+    p = m.withColumn("part", _range(F.when(whole, 0).otherwise(low).cast("long"), F.when(whole, 0).otherwise(high).cast("long")))
+    whole_part = F.when(whole, True).otherwise(False)
+    (ax, ay), (bx, by) = _along(F.when(whole_part, F.col("at")).otherwise(F.greatest(F.col("at"), F.col("part") * d))), _along(F.when(whole_part, F.col("end")).otherwise(F.least(F.col("end"), (F.col("part") + 1) * d)))
+    return p.select("line_id", "part", "seg", ax.alias("x1"), ay.alias("y1"), bx.alias("x2"), by.alias("y2"))
+
+
+def chords(m: DataFrame, most: float) -> DataFrame:
+    """(line_id, part, x1, y1, x2, y2): straight pieces between ceil(length / most) evenly spaced points, one piece fewer; one from end to end if they are under two."""
+    n = F.greatest(F.ceil(F.col("total") / most), F.lit(2))
+    points = at_shares(m, F.col("total") / (n - 1), n)
+    w = Window.partitionBy("line_id").orderBy("k")
+    return points.select("line_id", F.col("k").alias("part"), F.col("x").alias("x1"), F.col("y").alias("y1"), F.lead("x").over(w).alias("x2"), F.lead("y").over(w).alias("y2")).filter("x2 is not null")
 
 
 def rings(cells: DataFrame, segs: DataFrame, n: int = 15, width: float = 1.0) -> DataFrame:

@@ -142,7 +142,7 @@ def g27_nearest_tree(spark, sf_dir):
     return met.groupBy("line_id", F.col("end").cast("long").alias("which_end")).agg(F.round(F.min("d"), 6).alias("distance"), F.min_by("id", F.struct(F.round("d", 9), "id")).alias("nearest"))
 
 
-@query(with_views("SELECT a.id AS a, count(b.id) AS n_parts, CAST((a.x1 - a.x0) * (a.y1 - a.y0) AS BIGINT) AS area, CAST(coalesce(sum((least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0))), 0) AS BIGINT) AS shared FROM v_boxes a LEFT JOIN v_boxes b ON a.ecosite <> b.ecosite AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1 GROUP BY a.id, a.x0, a.x1, a.y0, a.y1", "v_boxes"))
+@query(with_views("SELECT a.id AS a, count(b.id) AS n_parts, CAST((a.x1 - a.x0) * (a.y1 - a.y0) AS BIGINT) AS area, CAST(coalesce(sum((least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0))) FILTER (WHERE b.id IS NOT NULL), 0) AS BIGINT) AS shared FROM v_boxes a LEFT JOIN v_boxes b ON a.ecosite <> b.ecosite AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1 GROUP BY a.id, a.x0, a.x1, a.y0, a.y1", "v_boxes"))
 def j08_identity(spark, sf_dir):
     """Each polygon's overlaps with polygons of other ecosites, polygons without any kept."""
     b = views.boxes(spark, sf_dir)

@@ -62,8 +62,8 @@ tr AS (SELECT line_id, seq, x + 10 * cos(a) AS ax, y + 10 * sin(a) AS ay, x - 10
 _WID = (
     _TRI
     + """, m AS (SELECT line_id, seq, ax, ay, bx, by_, x0, y0, x1, y1 FROM tr JOIN v_boxes ON least(ax, bx) <= x1 AND x0 <= greatest(ax, bx) AND least(ay, by_) <= y1 AND y0 <= greatest(ay, by_)),
-t AS (SELECT line_id, seq, greatest(0.0, least((x0 - ax) / (bx - ax), (x1 - ax) / (bx - ax)), least((y0 - ay) / (by_ - ay), (y1 - ay) / (by_ - ay))) AS t0,
-  least(1.0, greatest((x0 - ax) / (bx - ax), (x1 - ax) / (bx - ax)), greatest((y0 - ay) / (by_ - ay), (y1 - ay) / (by_ - ay))) AS t1 FROM m WHERE ax <> bx AND ay <> by_),
+t AS (SELECT line_id, seq, greatest(0.0, CASE WHEN bx = ax THEN 0 ELSE least((x0 - ax) / (bx - ax), (x1 - ax) / (bx - ax)) END, CASE WHEN by_ = ay THEN 0 ELSE least((y0 - ay) / (by_ - ay), (y1 - ay) / (by_ - ay)) END) AS t0,
+  least(1.0, CASE WHEN bx = ax THEN 1 ELSE greatest((x0 - ax) / (bx - ax), (x1 - ax) / (bx - ax)) END, CASE WHEN by_ = ay THEN 1 ELSE greatest((y0 - ay) / (by_ - ay), (y1 - ay) / (by_ - ay)) END) AS t1 FROM m),
 wd AS (SELECT tr.line_id, tr.seq, coalesce(max(greatest(t1 - t0, 0) * 20), 0) AS width FROM tr LEFT JOIN t ON tr.line_id = t.line_id AND tr.seq = t.seq GROUP BY 1, 2)"""
 )
 
@@ -106,7 +106,7 @@ def a07_width_stats(spark, sf_dir):
         _WID
         + """, s AS (SELECT line_id, round(coalesce(quantile_cont(width, 0.4) FILTER (WHERE width > 1e-6), 0.0), 6) AS w FROM wd GROUP BY line_id),
 ln AS (SELECT line_id, sum(sqrt(power(x2 - x1, 2) + power(y2 - y1, 2))) AS len FROM v_segs GROUP BY line_id)
-SELECT s.line_id, round(CASE WHEN w = 0 THEN (SELECT avg(w) FROM s) ELSE w END, 5) AS width, round(len * CASE WHEN w = 0 THEN (SELECT avg(w) FROM s) ELSE w END + pi() * power(CASE WHEN w = 0 THEN (SELECT avg(w) FROM s) ELSE w END / 2, 2), 4) AS footprint_area FROM s JOIN ln USING (line_id)""",
+SELECT s.line_id, round(CASE WHEN w = 0 THEN (SELECT avg(w) FROM s) ELSE w END, 6) AS width, round(len * CASE WHEN w = 0 THEN (SELECT avg(w) FROM s) ELSE w END + pi() * power(CASE WHEN w = 0 THEN (SELECT avg(w) FROM s) ELSE w END / 2, 2), 4) AS footprint_area FROM s JOIN ln USING (line_id)""",
         "v_vertices",
         "v_segs",
         "v_boxes",
@@ -118,7 +118,7 @@ def p04_fixed_footprint(spark, sf_dir):
     mean = s.agg(F.avg("w").alias("m"))
     lines = geo.lines(views.vertices(spark, sf_dir)).select("line_id", geo.length(F.col("pts")).alias("len"))
     w = F.when(F.coalesce("w", F.lit(0.0)) == 0, F.col("m")).otherwise(F.col("w"))
-    return s.join(lines, "line_id").join(F.broadcast(mean)).select("line_id", F.round(w, 5).alias("width"), F.round(F.col("len") * w + F.pi() * (w / 2) ** 2, 4).alias("footprint_area"))
+    return s.join(lines, "line_id").join(F.broadcast(mean)).select("line_id", F.round(w, 6).alias("width"), F.round(F.col("len") * w + F.pi() * (w / 2) ** 2, 4).alias("footprint_area"))
 
 
 @query(
@@ -136,7 +136,7 @@ def a07_width_histogram(spark, sf_dir):
     return linear.width_histogram(_widths(spark, sf_dir)).groupBy("line_id").agg(F.sum("n").alias("n_widths"), F.count("*").alias("bins_used"))
 
 
-@query(with_views(f"SELECT line_id, CAST(coalesce(sum(greatest(ceil({_LEN}), 1)), 0) + 1 AS BIGINT) AS n_vertices FROM v_segs GROUP BY line_id", *_SEG))
+@query(with_views(f"SELECT line_id, CAST(coalesce(sum(greatest(ceil({_LEN}), 1)) FILTER (WHERE x2 IS NOT NULL), 0) + 1 AS BIGINT) AS n_vertices FROM v_segs GROUP BY line_id", *_SEG))
 def g12_segmentize(spark, sf_dir):
     """Vertices of each line after no segment is longer than 1."""
     return geo.lines(views.vertices(spark, sf_dir)).select("line_id", F.size(geo.segmentized(F.col("pts"), 1.0)).cast("long").alias("n_vertices"))
@@ -144,23 +144,22 @@ def g12_segmentize(spark, sf_dir):
 
 @query(
     with_views(
-        f""", c AS (SELECT line_id, seq, x1, y1, x2, y2, {_LEN} AS d, sum({_LEN}) OVER (PARTITION BY line_id ORDER BY seq) - {_LEN} AS at, sum({_LEN}) OVER (PARTITION BY line_id) AS total FROM v_segs WHERE x2 IS NOT NULL),
-f AS (SELECT *, row_number() OVER (PARTITION BY line_id ORDER BY seq DESC) AS k FROM c WHERE at <= total / 2)
-SELECT line_id, round(x1 + (total / 2 - at) / d * (x2 - x1), 5) AS mx, round(y1 + (total / 2 - at) / d * (y2 - y1), 5) AS my FROM f WHERE k = 1 AND total > 0""".lstrip(),
+        f""", c AS (SELECT line_id, seq, x1, y1, x2, y2, {_LEN} AS d, sum({_LEN}) OVER (PARTITION BY line_id ORDER BY seq) - {_LEN} AS pos, sum({_LEN}) OVER (PARTITION BY line_id) AS total FROM v_segs WHERE x2 IS NOT NULL),
+f AS (SELECT *, row_number() OVER (PARTITION BY line_id ORDER BY seq DESC) AS k FROM c WHERE pos <= total / 2)
+SELECT line_id, round(x1 + (total / 2 - pos) / d * (x2 - x1), 5) AS mx, round(y1 + (total / 2 - pos) / d * (y2 - y1), 5) AS my FROM f WHERE k = 1 AND total > 0""".lstrip(),
         *_SEG,
     )
 )
 def g13_midpoint(spark, sf_dir):
     """The point half-way along each line."""
-    lines = geo.lines(views.vertices(spark, sf_dir)).withColumn("len", geo.length(F.col("pts"))).filter("len > 0").withColumn("p", geo.at_distance(F.col("pts"), F.col("len") / 2))
-    return lines.select("line_id", F.round("p.x", 5).alias("mx"), F.round("p.y", 5).alias("my"))
+    m = linear.midpoints(linear.measured(views.vertices(spark, sf_dir)))
+    return m.select("line_id", F.round("x", 5).alias("mx"), F.round("y", 5).alias("my"))
 
 
 @query(with_views(f"SELECT line_id, CAST(floor(sum({_LEN})) + 2 AS BIGINT) AS n_samples FROM v_segs GROUP BY line_id HAVING sum({_LEN}) > 0", *_SEG))
 def g14_samples(spark, sf_dir):
     """Points every unit along each line and its last vertex, counted."""
-    lines = geo.lines(views.vertices(spark, sf_dir)).filter(geo.length(F.col("pts")) > 0)
-    return linear.samples(lines).groupBy("line_id").agg(F.count("*").alias("n_samples"))
+    return linear.samples(linear.measured(views.vertices(spark, sf_dir))).groupBy("line_id").agg(F.count("*").alias("n_samples"))
 
 
 @query(
@@ -173,16 +172,15 @@ SELECT line_id, k AS part, round(CASE WHEN n = 0 THEN len ELSE least(3, len - 3
 )
 def g17_cut_lines(spark, sf_dir):
     """Lines cut every 3 units, whole where the rest is under 1."""
-    lines = geo.lines(views.vertices(spark, sf_dir)).filter(geo.length(F.col("pts")) > 0)
-    cut = linear.cut_every(lines, 3.0)
-    return cut.select("line_id", F.col("part").cast("long").alias("part"), F.round(geo.length(F.col("pts")), 5).alias("part_length"))
+    cut = linear.cut_every(linear.measured(views.vertices(spark, sf_dir)), 3.0)
+    d = F.sqrt((F.col("x2") - F.col("x1")) ** 2 + (F.col("y2") - F.col("y1")) ** 2)
+    return cut.groupBy("line_id", "part").agg(F.round(F.sum(d), 5).alias("part_length"))
 
 
 @query(with_views(f"SELECT line_id, CAST(greatest(ceil(sum({_LEN}) / 2) - 1, 1) AS BIGINT) AS n_chords FROM v_segs GROUP BY line_id HAVING sum({_LEN}) > 0", *_SEG))
 def g18_chords(spark, sf_dir):
     """Chords between evenly spaced samples, counted."""
-    lines = geo.lines(views.vertices(spark, sf_dir)).filter(geo.length(F.col("pts")) > 0)
-    return linear.chords(lines, 2.0).groupBy("line_id").agg(F.count("*").alias("n_chords"))
+    return linear.chords(linear.measured(views.vertices(spark, sf_dir)), 2.0).groupBy("line_id").agg(F.count("*").alias("n_chords"))
 
 
 @query(

@@ -73,18 +73,18 @@ def s20_mosaic(spark, sf_dir):
 _OFF = "SELECT i, j, sqrt(i * i + j * j) AS d FROM unnest(range(-{0}, {0} + 1)) AS a(i), unnest(range(-{0}, {0} + 1)) AS b(j) WHERE i * i + j * j <= {0} * {0}"
 
 
-@query(with_views(f", o AS ({_OFF.format(2)}) SELECT p.r, p.c, round(avg(q.z), 6) AS focal_mean, round(stddev_pop(q.z), 6) AS focal_std, round(sum(q.z), 5) AS focal_sum, count(q.z) AS n FROM v_cells p CROSS JOIN o LEFT JOIN v_cells q ON q.r = p.r + i AND q.c = p.c + j GROUP BY p.r, p.c", "v_cells"))
+@query(with_views(f", o AS ({_OFF.format(2)}) SELECT p.r, p.c, round(avg(q.z), 9) AS focal_mean, round(stddev_pop(q.z), 9) AS focal_std, round(sum(q.z), 5) AS focal_sum, count(q.z) AS n FROM v_cells p CROSS JOIN o LEFT JOIN v_cells q ON q.r = p.r + i AND q.c = p.c + j GROUP BY p.r, p.c", "v_cells"))
 def w06_focal(spark, sf_dir):
     """Mean, deviation and sum over a disc of radius 2."""
     f = raster.focal(views.cells(spark, sf_dir), raster.disc(2))
-    return f.select("r", "c", F.round("focal_mean", 6).alias("focal_mean"), F.round("focal_std", 6).alias("focal_std"), F.round("focal_sum", 5).alias("focal_sum"), F.col("focal_n").alias("n"))
+    return f.select("r", "c", F.round("focal_mean", 9).alias("focal_mean"), F.round("focal_std", 9).alias("focal_std"), F.round("focal_sum", 5).alias("focal_sum"), F.col("focal_n").alias("n"))
 
 
-@query(with_views(f", o AS ({_OFF.format(4)}) SELECT p.r, p.c, round(avg(q.z), 6) AS focal_mean, round(stddev_pop(q.z), 6) AS focal_std, count(q.z) AS n FROM v_cells p CROSS JOIN o LEFT JOIN v_cells q ON q.r = p.r + i AND q.c = p.c + j GROUP BY p.r, p.c", "v_cells"))
+@query(with_views(f", o AS ({_OFF.format(4)}) SELECT p.r, p.c, round(avg(q.z), 11) AS focal_mean, round(stddev_pop(q.z), 11) AS focal_std, count(q.z) AS n FROM v_cells p CROSS JOIN o LEFT JOIN v_cells q ON q.r = p.r + i AND q.c = p.c + j GROUP BY p.r, p.c", "v_cells"))
 def w06_focal_tiled(spark, sf_dir):
     """Mean and deviation over a disc of radius 4, by tiles with a halo."""
     f = raster.focal_tiled(views.cells(spark, sf_dir), raster.disc(4), tile=64)
-    return f.select("r", "c", F.round("focal_mean", 6).alias("focal_mean"), F.round("focal_std", 6).alias("focal_std"), F.col("focal_n").alias("n"))
+    return f.select("r", "c", F.round("focal_mean", 11).alias("focal_mean"), F.round("focal_std", 11).alias("focal_std"), F.col("focal_n").alias("n"))
 
 
 _COST = f""", k AS (SELECT r, c, CAST(z > 10 AS INTEGER) AS k FROM v_cells WHERE z IS NOT NULL), o AS ({_OFF.format(2)}),
@@ -124,14 +124,14 @@ def a17_half_count(spark, sf_dir):
     return h.select("bin", "n", F.sum("n").over(w).alias("below"), (F.sum("n").over(w) * 2 >= F.sum("n").over(Window.partitionBy())).alias("past_half"))
 
 
-@query(with_views(f", o AS ({_OFF.format(2)}), f AS (SELECT p.r, p.c, p.z, avg(q.z) AS m FROM v_cells p CROSS JOIN o LEFT JOIN v_cells q ON q.r = p.r + i AND q.c = p.c + j GROUP BY p.r, p.c, p.z), g AS (SELECT max(m) - min(m) AS span FROM f) SELECT r, c, round(m - z, 6) AS chh, CASE WHEN m - z < -0.2 * span THEN -1 WHEN m - z > 0.2 * span THEN 1 ELSE 0 END AS class FROM f, g WHERE z IS NOT NULL", "v_cells"))
+@query(with_views(f", o AS ({_OFF.format(2)}), f AS (SELECT p.r, p.c, p.z, avg(q.z) AS m FROM v_cells p CROSS JOIN o LEFT JOIN v_cells q ON q.r = p.r + i AND q.c = p.c + j GROUP BY p.r, p.c, p.z), g AS (SELECT max(m) - min(m) AS span FROM f) SELECT r, c, round(m - z, 9) AS chh, CASE WHEN m - z < -0.2 * span THEN -1 WHEN m - z > 0.2 * span THEN 1 ELSE 0 END AS class FROM f, g WHERE z IS NOT NULL", "v_cells"))
 def r12_hummock_hollow(spark, sf_dir):
     """Depth of each cell below its surroundings and its class (R12): hollows 1, hummocks -1."""
     f = raster.focal(views.cells(spark, sf_dir), raster.disc(2))
     span = f.agg((F.max("focal_mean") - F.min("focal_mean")).alias("span"))
     d = F.col("focal_mean") - F.col("z")
     cls = F.when(d < -0.2 * F.col("span"), -1).when(d > 0.2 * F.col("span"), 1).otherwise(0)
-    return f.filter("z is not null").join(F.broadcast(span)).select("r", "c", F.round(d, 6).alias("chh"), cls.alias("class"))
+    return f.filter("z is not null").join(F.broadcast(span)).select("r", "c", F.round(d, 9).alias("chh"), cls.alias("class"))
 
 
 @query(with_views("SELECT r, c, round(coalesce(z, -9999), 6) AS filled, round(CASE WHEN z IS NULL THEN 9999 WHEN z < 0 THEN 0 ELSE z END, 6) AS blocked, round(z - min(z) OVER (PARTITION BY r), 6) AS above_least, round(greatest(least(z / 20, 1), 0), 6) AS clamped FROM v_cells WHERE c BETWEEN 10 AND 89", "v_cells"))
