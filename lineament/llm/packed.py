@@ -14,10 +14,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from lineament.llm.words import trim
 from lineament.plans.storage import partitions
 
 #: Entries held before they are dealt out, or merged into what is known.
-HELD = 400_000
+HELD = 200_000
 SHAPE = "pid long, names binary, owners binary, payloads binary, decided binary"
 _u = np.uint64
 
@@ -120,6 +121,8 @@ def dealt(batches: Iterator[Entries], rule: Rule, parts: int) -> Iterator[pa.Rec
             held, n = [], 0
     if held:
         yield bundles(joined(held), rule, parts)
+    held = []
+    trim()
 
 
 def unpack(b: pa.RecordBatch) -> Iterator[tuple[Entries | None, tuple[np.ndarray, np.ndarray] | None]]:
@@ -155,5 +158,7 @@ def decided(df: DataFrame, rule: Rule, give: Callable[[np.ndarray, np.ndarray],
                     yield give(out.owner, out.payload)
         if held and len(out := merge()):
             yield give(out.owner, out.payload)
+        state, held = [], []
+        trim()
 
     return df.repartition(4 * partitions(df.sparkSession), "pid").mapInArrow(run, shape)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lineament.llm.packed import SHAPE, Entries, dealt, decided, parts_of, star
-from lineament.llm.words import Prefix, Words, bounded, mix, pieces
+from lineament.llm.words import Prefix, Words, bounded, mix, pieces, trim
 from lineament.operators.graph import components
 from lineament.plans.storage import partitions, sized, written
 
@@ -289,6 +289,8 @@ def _by_tree(percent: int):
                 yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int64()), pa.array([q for _, q in out], pa.int64())], names=["a", "b"])
         if len(ids) > 1 and (out := links(ids, sides, sets)):
             yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int64()), pa.array([q for _, q in out], pa.int64())], names=["a", "b"])
+        ids, sides, sets = [], [], []
+        trim()
 
     return run
 

@@ -154,22 +154,22 @@ def named_subtrees(root: Element) -> list[tuple[Element, int]]:
     return out
 
 
+def outermost(root: Element, tag: str) -> list[Element]:
+    """Elements of a tag that aren't in another or in what isn't content, in page order."""
+    out, stack = [], [root]
+    while stack:
+        e = stack.pop()
+        if e.tag == tag:
+            out.append(e)
+        else:
+            stack += [c for c in reversed(e.children) if not isinstance(c, str) and c.tag not in NOISE_TAGS]
+    return out
+
+
 def blocks(root: Element, template: set[int]) -> list[str]:
     """The blocks of what isn't template or noise, white space made one space."""
     gone = {id(e) for e, name in named_subtrees(root) if name in template} if template else ()
-    tops: list[Element] = []
-
-    def find(e: Element, tag: str):
-        for c in e.children:
-            if not isinstance(c, str) and c.tag not in NOISE_TAGS:
-                if c.tag == tag:
-                    tops.append(c)
-                else:
-                    find(c, tag)
-
-    for tag in ("article", "main"):
-        if not tops:
-            find(root, tag)
+    tops = outermost(root, "article") or outermost(root, "main")
     out: list[str] = []
     line: list[str] = []
 

@@ -7,6 +7,8 @@ polynomial over its bytes, so no Python object is made for a word.
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,9 +17,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 #: Text bytes handled at a time, if a single text isn't longer.
-STEP = 1 << 19
+STEP = 1 << 18
 #: What an Arrow batch to Python may hold.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 _u = np.uint64
 BASE, BASE2 = _u(0x9E3779B97F4A7C15 | 1), _u(0xD1342543DE82EF95 | 1)
@@ -94,6 +96,13 @@ def bounded(df: DataFrame) -> DataFrame:
     return df
 
 
+def trim() -> None:
+    """Gives memory that a task has freed back to the system; its worker lives on for other tasks."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about STEP text bytes."""
     for batch in batches:
@@ -104,6 +113,7 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa
         edges = [0, *(np.flatnonzero(np.diff(cut)) + 1).tolist(), batch.num_rows]
         for a, b in zip(edges, edges[1:]):
             yield batch.slice(a, b - a)
+    trim()
 
 
 class Words:
