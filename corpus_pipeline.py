@@ -26,7 +26,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the least doc_id of each group linked at 0.8 over five-word sets; rows without a doc_id stay."""
-    groups = signature_tree.jaccard_groups(docs, shingle=5, percent=80)
+    groups = signature_tree.jaccard_groups(docs, shingle=5, percent=80, cell_rows=2048)
     lost = written(groups.filter("component_id < doc_id").select(F.col("doc_id").alias("__lost")).distinct(), "lost")
     return docs.join(sized(lost, 8), docs["doc_id"] == lost["__lost"], "left_anti")
 
