@@ -110,3 +110,16 @@ def in_ring(px: Column, py: Column, ring: Column) -> Column:
 
 def rotated(x: Column, y: Column, ox: Column, oy: Column, radians: Column) -> tuple[Column, Column]:
     return ox + (x - ox) * F.cos(radians) - (y - oy) * F.sin(radians), oy + (x - ox) * F.sin(radians) + (y - oy) * F.cos(radians)
+
+
+def crossing(ax, ay, bx, by, cx, cy, dx, dy) -> Column:
+    """The point (x, y) where segments a-b and c-d meet; null where they don't, or run parallel."""
+    det = (bx - ax) * (dy - cy) - (by - ay) * (dx - cx)
+    t = F.try_divide((cx - ax) * (dy - cy) - (cy - ay) * (dx - cx), det)
+    u = F.try_divide((cx - ax) * (by - ay) - (cy - ay) * (bx - ax), det)
+    return F.when((t >= 0) & (t <= 1) & (u >= 0) & (u <= 1), F.struct((ax + t * (bx - ax)).alias("x"), (ay + t * (by - ay)).alias("y")))
+
+
+def without_holes(rings: Column) -> Column:
+    """The outer ring alone of a polygon's rings."""
+    return F.slice(rings, 1, 1)

@@ -173,3 +173,29 @@ def j15_unmatched_lines(spark, sf_dir):
     """Lines whose bounds meet no polygon's."""
     b = _bounds(spark, sf_dir)
     return b.select("line_id").join(bbox_join(b, views.boxes(spark, sf_dir)).select("line_id"), "line_id", "left_anti")
+
+
+@query(
+    with_views(
+        """, s AS (SELECT line_id, seq, x1 AS ax, y1 AS ay, x2 AS bx, y2 AS by_ FROM v_segs WHERE x2 IS NOT NULL),
+m AS (SELECT line_id, seq, id, ax, ay, bx, by_, x0, y0, x1, y1, (bx - ax) * (y1 - y0) - (by_ - ay) * (x1 - x0) AS det FROM s JOIN v_boxes ON least(ax, bx) <= x1 AND x0 <= greatest(ax, bx) AND least(ay, by_) <= y1 AND y0 <= greatest(ay, by_)),
+t AS (SELECT *, ((x0 - ax) * (y1 - y0) - (y0 - ay) * (x1 - x0)) / det AS t, ((x0 - ax) * (by_ - ay) - (y0 - ay) * (bx - ax)) / det AS u FROM m WHERE abs(det) > 1e-9)
+SELECT line_id, seq AS seg, id, round(ax + t * (bx - ax), 5) AS x, round(ay + t * (by_ - ay), 5) AS y FROM t WHERE t BETWEEN 0 AND 1 AND u BETWEEN 0 AND 1""",
+        "v_vertices",
+        "v_segs",
+        "v_boxes",
+    )
+)
+def g31_crossings(spark, sf_dir):
+    """Where segments cross polygons' diagonals."""
+    segs = linear.segments(views.vertices(spark, sf_dir)).select("line_id", "seg", F.col("x1").alias("ax"), F.col("y1").alias("ay"), F.col("x2").alias("bx"), F.col("y2").alias("by"))
+    sides = {"lx0": F.least("ax", "bx"), "ly0": F.least("ay", "by"), "lx1": F.greatest("ax", "bx"), "ly1": F.greatest("ay", "by")}
+    met = bbox_join(segs.withColumns(sides), views.boxes(spark, sf_dir))
+    c = [F.col(k) for k in ("ax", "ay", "bx", "by", "x0", "y0", "x1", "y1")]
+    return met.withColumn("p", geo.crossing(*c)).filter("p is not null").select("line_id", "seg", "id", F.round("p.x", 5).alias("x"), F.round("p.y", 5).alias("y"))
+
+
+@query(with_views("SELECT line_id, round(avg(x), 6) AS cx, round(avg(y), 6) AS cy FROM v_vertices GROUP BY line_id", "v_vertices"))
+def g30_centroids(spark, sf_dir):
+    """Centroid of each line's vertices."""
+    return views.vertices(spark, sf_dir).groupBy("line_id").agg(F.round(F.avg("x"), 6).alias("cx"), F.round(F.avg("y"), 6).alias("cy"))
