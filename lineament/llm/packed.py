@@ -135,30 +135,47 @@ def unpack(b: pa.RecordBatch) -> Iterator[tuple[Entries | None, tuple[np.ndarray
             yield None, (both[: len(both) // 2], both[len(both) // 2 :])
 
 
-def decided(df: DataFrame, rule: Rule, give: Callable[[np.ndarray, np.ndarray], pa.RecordBatch], shape: str) -> DataFrame:
-    """Bundles met part by part; give() turns (owners, payloads) of decided entries into rows of shape."""
+def decided(df: DataFrame, rule: Rule, give: Callable[[np.ndarray, np.ndarray], pa.RecordBatch], shape: str, tasks: int = 4) -> DataFrame:
+    """Bundles met part by part; give() turns (owners, payloads) of decided entries into rows of shape.
+
+    tasks is how many tasks there are for each shuffle partition: more of them
+    hold less, fewer give longer rows where give() makes one for each owner.
+    """
 
     def run(batches):
         state, held, n = [], [], 0
+        done, m = [], 0
 
         def merge():
             nonlocal state, held, n
             out, rest = rule(joined(state + held))
             state, held, n = [rest], [], 0
-            return out
+            return out.owner, out.payload
+
+        def given():
+            nonlocal done, m
+            out = [np.concatenate(x) for x in zip(*done)]
+            done, m = [], 0
+            return give(*out)
 
         for b in batches:
-            for e, done in unpack(b):
-                if done is not None:
-                    yield give(*done)
-                    continue
-                held.append(e)
-                n += len(e)
-                if n >= max(HELD, len(state[0]) if state else 0) and len(out := merge()):
-                    yield give(out.owner, out.payload)
-        if held and len(out := merge()):
-            yield give(out.owner, out.payload)
-        state, held = [], []
+            for e, known in unpack(b):
+                if known is None:
+                    held.append(e)
+                    n += len(e)
+                    if n < max(HELD, len(state[0]) if state else 0):
+                        continue
+                    known = merge()
+                if len(known[0]):
+                    done.append(known)
+                    m += len(known[0])
+                if m >= 5 * HELD:
+                    yield given()
+        if held and len((known := merge())[0]):
+            done.append(known)
+        if done:
+            yield given()
+        state, held, done = [], [], []
         trim()
 
-    return df.repartition(4 * partitions(df.sparkSession), "pid").mapInArrow(run, shape)
+    return df.repartition(tasks * partitions(df.sparkSession), "pid").mapInArrow(run, shape)

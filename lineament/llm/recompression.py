@@ -197,7 +197,7 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     # the texts are shuffled once; only those with a shared symbol go on
     held = written(docs.join(wanted, "doc_id"), "held")
     windows = held.mapInArrow(_windows(window, parts), SHAPE)
-    places = decided(windows, later, _places, "doc_id long, places binary").groupBy("doc_id").agg(F.collect_list("places").alias("places"))
+    places = decided(windows, later, _places, "doc_id long, places binary", tasks=1).groupBy("doc_id").agg(F.collect_list("places").alias("places"))
     cut = written(held.drop("ranges").join(places, "doc_id").mapInArrow(_kept(window), "doc_id long, digest binary, removed long, kept string").distinct(), "cut")
     copies = firsts.filter("other > first").select("digest", "first")
     out = texts.join(sized(copies, 48), "digest", "left").join(sized(cut, 200), ["doc_id", "digest"], "left")
