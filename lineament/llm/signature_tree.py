@@ -326,14 +326,16 @@ def jaccard_groups(docs: DataFrame, shingle: int = 3, percent: int = 90, cell_ro
     cells = components(stars)
     members = written(firsts.select("digest", F.col("first").alias("doc_id"), "node").join(cells, "node").select("doc_id", "digest", F.col("component").alias("cell")), "members")
     counts = members.groupBy("cell").agg(F.count("*").alias("n"), F.min("doc_id").alias("hub"))
-    small = docs.join(sized(members, 64), "doc_id").mapInArrow(_cell_sets(shingle), "doc_id long, cell long, names binary")
+    sets_of = lambda rows: docs.join(sized(rows, 64), "doc_id").mapInArrow(_cell_sets(shingle), "doc_id long, cell long, names binary")
     large = written(counts.filter(F.col("n") > cell_rows), "large")
     shape = "a long, b long"
     run = lambda df: df.repartition(partitions(spark), "cell").sortWithinPartitions("cell").mapInArrow(_by_tree(percent), shape)
     if large.limit(1).count():
-        held = written(small, "held")
-        links = run(held.join(F.broadcast(large.select("cell")) if large.count() < 100_000 else large.select("cell"), "cell", "left_anti").select("cell", "doc_id", F.lit(0).alias("side"), "names"))
-        big = held.join(large, "cell")
+        # only the large cells' sets are kept, as they are read several times
+        few = written(members.join(large.select("cell"), "cell", "left_anti"), "few")
+        links = run(sets_of(few).select("cell", "doc_id", F.lit(0).alias("side"), "names"))
+        many = written(members.join(large.select("cell"), "cell", "left_semi"), "many")
+        big = written(sets_of(many), "held").join(large, "cell")
         hubs = big.filter("doc_id = hub").select("cell", F.col("names").alias("hub_names")).dropDuplicates(["cell"])
         flags = written(big.select("doc_id", "cell", "names").join(hubs, "cell").mapInArrow(_hub_links(percent), "doc_id long, cell long, linked boolean"), "flags")
         links = links.union(flags.filter("linked").join(large, "cell").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")))
@@ -348,7 +350,7 @@ def jaccard_groups(docs: DataFrame, shingle: int = 3, percent: int = 90, cell_ro
             F.expr("if(linked, xxhash64(cell, 'l', j, block), xxhash64(cell, 'l', block, j))").alias("cell"), "doc_id", F.expr("if(linked, 1, 0)").alias("side"), "names")
         links = links.union(run(uu)).union(run(ul))
     else:
-        links = run(small.select("cell", "doc_id", F.lit(0).alias("side"), "names"))
+        links = run(sets_of(members).select("cell", "doc_id", F.lit(0).alias("side"), "names"))
     groups = components(links)
     tops = firsts.join(groups, firsts["first"] == groups.node, "left").select("digest", F.coalesce("component", "first").alias("component"), "first", "other")
     tops = written(tops.filter("component <> first or first <> other"), "tops")
