@@ -1,15 +1,16 @@
 """Main text of web pages by removing what recurs on their host.
 
-Pages are parsed into elements.  Outside of articles every element subtree with
-text or links is named by a hash of its tags, attributes and text; Spark counts,
-by host, the pages on which each name occurs, and names that recur on many
-pages of a host are its template.  A second pass over the pages deletes template
-subtrees, deletes elements whose tag or class says that they are no content, and
-gives the blocks of what is left of the article, or of the body where a page has
-no article.
-
-Copies of an article on one host recur too; an article's own subtrees are
-therefore never named.
+Pages are parsed into elements.  What may be content is the outermost articles,
+or main elements, or all of a page that has neither, without the elements whose
+tag or class says that they are no content.  Every element subtree with text in
+it is named by a hash of its tags, attributes and text; Spark counts, by host,
+the distinct surroundings in which each name occurs, and names that recur in
+many are the host's template.  A second pass over the pages deletes template
+subtrees and gives the blocks of what is left.
+
+Copies of an article on one host recur too.  A subtree's surroundings are
+therefore told apart by the longest text of the page outside of it: paragraphs of
+a copied or nearly copied page have the same one on each copy and count once.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from __future__ import annotations
 import re
 from hashlib import blake2b
 from html import unescape
+from itertools import accumulate
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -117,41 +119,40 @@ def parse(html: str) -> Element:
     return root
 
 
-def named_subtrees(root: Element) -> list[tuple[Element, int]]:
-    """Elements outside of articles, and their subtrees' names as signed 64-bit numbers; those without text have none."""
-    order, stack = [], [root]
+def named_subtrees(root: Element) -> tuple[list[tuple[Element, int, str]], str]:
+    """Elements that may be content, their subtrees' names as signed 64-bit numbers, and the longest text outside of each; and the longest of all.
+
+    Articles, main elements that stand for the page, and elements without text have no name.
+    """
+    tops = outermost(root, "article") or outermost(root, "main")
+    order: list[tuple[Element, int]] = []  # with the number of texts before the element
+    texts: list[str] = []
+    ends: dict[int, int] = {}
+    stack: list = [*reversed(tops or [root])]
     while stack:
         e = stack.pop()
-        order.append(e)
-        stack += [c for c in e.children if not isinstance(c, str)]
-    holds: set[int] = set()
-    for e in reversed(order):
-        if e.tag in ("article", "main") or id(e) in holds:
-            holds.add(id(e))
-            if e.parent is not None:
-                holds.add(id(e.parent))
-    inside: set[int] = set()
-    for e in order:
-        if e.tag in ("article", "main") or e.parent is not None and id(e.parent) in inside:
-            inside.add(id(e))
-    out, names, texts = [], {}, set()
-    for e in reversed(order):  # children before parents
-        if id(e) in inside or id(e) in holds or e.tag in ("", "html", "body", "head"):
+        if isinstance(e, str):
+            if t := " ".join(e.split()):
+                texts.append(t)
+        elif isinstance(e, tuple):
+            ends[id(e[0])] = len(texts)
+        elif not e.noise():
+            order.append((e, len(texts)))
+            stack.append((e,))
+            stack.extend(reversed(e.children))
+    rank = lambda t: (len(t), t)
+    before = [*accumulate(texts, lambda x, y: max(x, y, key=rank), initial="")]
+    after = [*accumulate(reversed(texts), lambda x, y: max(x, y, key=rank), initial="")][::-1]
+    unnamed = {id(e) for e in tops}
+    out, names = [], {}
+    for e, start in reversed(order):  # children before parents
+        if id(e) in unnamed or e.tag in ("", "html", "body"):
             continue
-        parts = []
-        for c in e.children:
-            if not isinstance(c, str):
-                parts.append(names[id(c)])
-                if id(c) in texts:
-                    texts.add(id(e))
-            elif s := c.strip():
-                parts.append(s.encode("utf-8", "replace"))
-                if e.tag not in ("script", "style"):
-                    texts.add(id(e))
-        names[id(e)] = name = blake2b(f"<{e.tag}{e.attributes}>".encode("utf-8", "replace") + b"\0".join(parts), digest_size=8).digest()
-        if id(e) in texts:
-            out.append((e, int.from_bytes(name, "little", signed=True)))
-    return out
+        parts = [names.get(id(c), b"") if not isinstance(c, str) else c.strip().encode("utf-8", "replace") for c in e.children]
+        names[id(e)] = name = blake2b(f"<{e.tag}{e.attributes}>".encode("utf-8", "replace") + b"\0".join(x for x in parts if x), digest_size=8).digest()
+        if ends[id(e)] > start:
+            out.append((e, int.from_bytes(name, "little", signed=True), max(before[start], after[ends[id(e)]], key=rank)))
+    return out, before[-1]
 
 
 def outermost(root: Element, tag: str) -> list[Element]:
@@ -168,7 +169,7 @@ def outermost(root: Element, tag: str) -> list[Element]:
 
 def blocks(root: Element, template: set[int]) -> list[str]:
     """The blocks of what isn't template or noise, white space made one space."""
-    gone = {id(e) for e, name in named_subtrees(root) if name in template} if template else ()
+    gone = {id(e) for e, name, _ in named_subtrees(root)[0] if name in template} if template else ()
     tops = outermost(root, "article") or outermost(root, "main")
     out: list[str] = []
     line: list[str] = []
@@ -219,14 +220,20 @@ def _pieces(batches, column: str):
 
 
 def _named(html: str, url: str):
+    """(host, name, rest) for each name of a page, and without a name for the page as a whole."""
+    short = lambda t: int.from_bytes(blake2b(t.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+
     def run(batches):
         for b in _pieces(batches, html):
-            hosts, names = [], []
+            hosts, names, rests = [], [], []
             for h, u in zip(b.column(html).to_pylist(), b.column(url).to_pylist()):
-                found = {name for _, name in named_subtrees(parse(h or ""))}
-                hosts += [_host(u)] * len(found)
-                names += found
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(names, pa.int64())], names=["host", "name"])
+                found, longest = named_subtrees(parse(h or ""))
+                hashed = {t: short(t) for t in {longest, *(t for _, _, t in found)}}
+                rows = {(None, hashed[longest]), *((name, hashed[t]) for _, name, t in found)}
+                hosts += [_host(u)] * len(rows)
+                names += [name for name, _ in rows]
+                rests += [rest for _, rest in rows]
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(names, pa.int64()), pa.array(rests, pa.int64())], names=["host", "name", "rest"])
 
     return run
 
@@ -247,13 +254,16 @@ def host_of(url):
 
 
 def templates(pages: DataFrame, html: str = "html", url: str = "url", least_pages: int = LEAST_PAGES, share: float = SHARE) -> DataFrame:
-    """(host, names): subtrees that recur on least_pages pages of a host at least, and on more than that share of them.
+    """(host, names): subtrees that recur in least_pages distinct surroundings on a host at least, and in more than that share of its distinct pages.
 
-    A host has at most (subtrees of a mean page) / share of them.
+    Pages are distinct by their longest text, as surroundings are.  A host has
+    at most (subtrees of a mean page) / share of names.
     """
-    counts = pages.select(html, url).mapInArrow(_named(html, url), "host string, name long").groupBy("host", "name").agg(F.count("*").alias("n")).filter(F.col("n") >= least_pages)
-    totals = pages.groupBy(host_of(F.col(url)).alias("of")).agg(F.count("*").alias("pages"))
-    many = counts.join(totals, counts["host"].eqNullSafe(totals["of"])).filter(F.col("n") > share * F.col("pages"))
+    rows = pages.select(html, url).mapInArrow(_named(html, url), "host string, name long, rest long").distinct()
+    counts = written(rows.groupBy("host", "name").agg(F.count("*").alias("n")).filter((F.col("n") >= least_pages) | F.col("name").isNull()), "counts")
+    totals = counts.filter("name is null").select(F.col("host").alias("of"), F.col("n").alias("pages"))
+    named = counts.filter("name is not null")
+    many = named.join(totals, named["host"].eqNullSafe(totals["of"])).filter(F.col("n") > share * F.col("pages"))
     return many.groupBy("host").agg(F.collect_list("name").alias("names"))
 
 

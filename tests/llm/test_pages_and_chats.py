@@ -86,6 +86,19 @@ def test_copied_articles_stay(spark):
     assert {r["__text"] for r in site_template.main_text(pages(spark, rows)).collect()} == {"same text"}
 
 
+@pytest.mark.parametrize("top", ["article", "main"])
+def test_template_in_articles_is_removed(spark, top):
+    page = "<body><{t}><h1>Head {k}</h1><div class='box'><p>Read more here, a line longer than the text</p></div><p>own {k}</p></{t}></body>"
+    rows = [(k, "http://h.example/", page.format(t=top, k=k)) for k in range(8)]
+    assert {r.page_id: r["__text"] for r in site_template.main_text(pages(spark, rows)).collect()} == {k: f"Head {k}\nown {k}" for k in range(8)}
+
+
+def test_near_copies_of_articles_stay(spark):
+    page = "<body><article><h1>Head</h1><p>the longest of the paragraphs</p><p>views {k}</p><p>another one</p></article></body>"
+    rows = [(k, "http://h.example/", page.format(k=k)) for k in range(8)]
+    assert {r.page_id: r["__text"] for r in site_template.main_text(pages(spark, rows)).collect()}[3] == "Head\nthe longest of the paragraphs\nviews 3\nanother one"
+
+
 controls = chat.Template().controls()
 texts = st.lists(st.sampled_from([*controls, "\\", "[", "<", "/", "a", "\n", " ", "é"]), max_size=12).map("".join)
 
