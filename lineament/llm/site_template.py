@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from lineament.plans.storage import sized, written
 
-LEAST_PAGES, SHARE = 3, 0.001
+LEAST_PAGES, SHARE = 3, 0.5
 HTML_STEP = 4 << 20
 # fixed values: HTML's element kinds
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())

@@ -99,6 +99,21 @@ def test_near_copies_of_articles_stay(spark):
     assert {r.page_id: r["__text"] for r in site_template.main_text(pages(spark, rows)).collect()}[3] == "Head\nthe longest of the paragraphs\nviews 3\nanother one"
 
 
+def test_copies_without_articles_stay(spark):
+    page = "<body><nav>m {v}</nav><div><h1>Head {k}</h1><p>long paragraph of page {k}</p><p>more of {k}</p></div></body>"
+    rows = [(10 * k + v, "http://h.example/", page.format(k=k, v=v)) for k, copies in ((0, 3), (1, 1), (2, 1), (3, 5)) for v in range(copies)]
+    got = {r.page_id: r["__text"] for r in site_template.main_text(pages(spark, rows)).collect()}
+    assert got == {i: f"Head {i // 10}\nlong paragraph of page {i // 10}\nmore of {i // 10}" for i, _, _ in rows}
+
+
+@pytest.mark.parametrize("top", ["article", "div"])
+def test_passages_of_few_pages_stay(spark, top):
+    page = "<body><{t}><p>the own paragraph of page {k}</p>{q}</{t}></body>"
+    rows = [(k, "http://h.example/", page.format(t=top, k=k, q="<p>A notice.</p>" if k < 3 else "")) for k in range(12)]
+    got = {r.page_id: r["__text"] for r in site_template.main_text(pages(spark, rows)).collect()}
+    assert got == {k: f"the own paragraph of page {k}" + ("\nA notice." if k < 3 else "") for k in range(12)}
+
+
 controls = chat.Template().controls()
 texts = st.lists(st.sampled_from([*controls, "\\", "[", "<", "/", "a", "\n", " ", "é"]), max_size=12).map("".join)
 
