@@ -101,6 +101,43 @@ def test_groups_by_angle(spark):
     assert got == {0: 0, 1: 0, 2: 2, 3: 3}
 
 
+def test_lines_meet_whatever_their_ids(spark):
+    rng = random.Random(4)
+    spots = [(float(rng.randrange(12)), float(rng.randrange(12))) for _ in range(160)]
+    lines = {k * 7_001: (spots[2 * k], spots[2 * k + 1]) for k in range(80) if spots[2 * k] != spots[2 * k + 1]}
+    v = spark.createDataFrame([(k, i, *p) for k, pts in lines.items() for i, p in enumerate(pts)], "line_id long, seq long, x double, y double")
+    ends = network.snapped(network.line_ends(v))
+    up = {k: k for k in lines}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    at = {}
+    for k, pts in lines.items():
+        for p in pts:
+            at.setdefault(p, []).append(k)
+    for met in at.values():
+        for k in met[1:]:
+            a, b = find(met[0]), find(k)
+            up[max(a, b)] = min(a, b)
+    got = {r.line_id: r.group for r in network.groups(ends.select("line_id").distinct(), network.vertex_edges(ends)).collect()}
+    assert got == {k: find(k) for k in lines}
+    pairs = network.connected_pairs(ends)
+    ways = {(r.sx / 4, r.sy / 4): r.ways for r in network.vertex_classes(ends, pairs).collect()}
+    assert ways == {p: len(met) for p, met in at.items()}
+    two = {tuple(sorted(met)) for met in at.values() if len(met) == 2}
+    assert two and two <= {(r.a, r.b) for r in pairs.collect()}
+
+
+def test_merge_across_ids(spark):
+    v = vertices(spark, [(0, 0), (5, 0)], [(5, 0), (9, 0)]).withColumn("line_id", F.col("line_id") * 40_000)
+    ends = network.snapped(network.line_ends(v))
+    out = network.merged(v, network.groups(ends.select("line_id").distinct(), network.connected_pairs(ends))).collect()
+    assert len(out) == 1 and out[0].length == 9 and out[0].n_vertices == 3
+
+
 def test_merge_keeps_length(spark):
     v = vertices(spark, [(0, 0), (5, 0)], [(10, 0), (5, 0)], [(10, 0), (10, 5)])
     g = spark.createDataFrame([(k, 0) for k in range(3)], "line_id long, group long")
