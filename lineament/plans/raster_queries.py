@@ -95,11 +95,18 @@ e AS (SELECT p.r, p.c, greatest(0, 2 - min(d)) / 2 AS sm FROM k p CROSS JOIN o J
 @query(with_views(_COST + " SELECT f.r, f.c, f.k AS canopy, round(power(exp(CASE WHEN f.k = 1 THEN 1 ELSE CASE WHEN m + s > 0 THEN (1 + (m - s) / (m + s)) / 2 ELSE 0 END * 0.7 + coalesce(sm, 0) * 0.3 END), 1.5), 6) AS cost FROM f LEFT JOIN e USING (r, c)", "v_cells"))
 def t01_canopy_cost(spark, sf_dir):
     """Canopy and cost rasters: canopy over 10, radius 2, reach 2, avoidance 0.3, exponent 1.5."""
+    out = raster.cost(views.cells(spark, sf_dir), threshold=10.0, radius=2.0, reach=2.0, avoidance=0.3, exponent=1.5)
+    return out.select("r", "c", "canopy", F.round("cost", 6).alias("cost"))
+
+
+@query()
+def t01_documented_canopy_cost(spark, sf_dir):
+    """The same with the documented values: canopy over 1, radius 3, reach 10, avoidance 0.3, exponent 1.5."""
     return _cost(spark, sf_dir).select("r", "c", "canopy", F.round("cost", 6).alias("cost"))
 
 
 def _cost(spark, sf_dir):
-    return raster.cost(views.cells(spark, sf_dir), threshold=10.0, radius=2.0, reach=2.0, avoidance=0.3, exponent=1.5)
+    return raster.cost(views.cells(spark, sf_dir), threshold=1.0, radius=3.0, reach=10.0, avoidance=0.3, exponent=1.5)
 
 
 @query(with_views(", g AS (SELECT p.r, p.c, max(q.z) AS z FROM v_cells p JOIN v_cells q ON abs(p.r - q.r) <= 1 AND abs(p.c - q.c) <= 1 AND q.r BETWEEN p.r - 1 AND p.r + 1 WHERE p.z IS NOT NULL GROUP BY p.r, p.c) SELECT p.r, p.c, round(min(q.z), 6) AS z FROM g p JOIN g q ON q.r BETWEEN p.r - 1 AND p.r + 1 AND q.c BETWEEN p.c - 1 AND p.c + 1 GROUP BY p.r, p.c", "v_cells"))
@@ -212,14 +219,20 @@ b AS (SELECT *, row_number() OVER (PARTITION BY line_id, r, c ORDER BY round(d,
 med AS (SELECT line_id, side, floor(d) AS ring, quantile_cont(z, 0.5) AS median FROM b WHERE k = 1 AND side <> 0 GROUP BY 1, 2, 3)"""
 
 
-def _medians(spark, sf_dir):
-    return linear.ring_medians(linear.rings(views.cells(spark, sf_dir), linear.segments(views.vertices(spark, sf_dir)), n=4))
+def _medians(spark, sf_dir, n):
+    return linear.ring_medians(linear.rings(views.cells(spark, sf_dir), linear.segments(views.vertices(spark, sf_dir)), n=n))
 
 
 @query(with_views(_RING + " SELECT line_id, CAST(side AS INTEGER) AS side, CAST(ring AS INTEGER) AS ring, round(median, 6) AS median FROM med", "v_cells", "v_vertices", "v_segs"))
 def a05_ring_medians(spark, sf_dir):
     """Median height in four one-sided rings of width 1 about each line."""
-    return _medians(spark, sf_dir).withColumn("median", F.round("median", 6))
+    return _medians(spark, sf_dir, 4).withColumn("median", F.round("median", 6))
+
+
+@query()
+def a05_fifteen_ring_medians(spark, sf_dir):
+    """Median height in all fifteen one-sided rings of width 1 about each line."""
+    return _medians(spark, sf_dir, 15).withColumn("median", F.round("median", 6))
 
 
 @query(
@@ -239,7 +252,17 @@ SELECT line_id, round(max(ht) FILTER (WHERE side = 1), 6) AS "CL_CutHt", round(m
 )
 def t06_relative_threshold(spark, sf_dir):
     """Where each side's ring medians first jump, and the canopy threshold that they give."""
-    out = linear.relative_thresholds(views.cells(spark, sf_dir), linear.segments(views.vertices(spark, sf_dir)), n=4)
+    return _thresholds(spark, sf_dir, 4)
+
+
+@query()
+def t06_fifteen_ring_threshold(spark, sf_dir):
+    """The same over all fifteen rings of the reference."""
+    return _thresholds(spark, sf_dir, 15)
+
+
+def _thresholds(spark, sf_dir, n):
+    out = linear.relative_thresholds(views.cells(spark, sf_dir), linear.segments(views.vertices(spark, sf_dir)), n=n)
     return out.select("line_id", *(F.round(c, 6).alias(c) for c in ("CL_CutHt", "CR_CutHt", "LDist_Cut", "RDist_Cut", "DynCanTh")))
 
 

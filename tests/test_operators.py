@@ -12,6 +12,7 @@ from lineament.functions import geo
 from lineament.operators import lidar, linear, network, paths, raster
 from lineament.operators.graph import components
 from lineament.operators.spatial_join import bbox_join
+from lineament.plans import registry
 from lineament.sources import layers
 
 
@@ -174,6 +175,55 @@ def test_bbox_join(spark):
     assert {r.i for r in bbox_join(left, right, how="left").collect()} == set(range(40))
 
 
+def small_tables(spark, tmp_path):
+    """Stored orders and lineitem: a raster of 40 rows by 100 columns and three lines on it."""
+    rng = random.Random(6)
+    orders = [(k, "P" if rng.random() < 0.05 else "O", 500_000 / 28 * (rng.random() * 0.8 if rng.random() < 0.9 else 20 * rng.random())) for k in range(4000)]
+    spark.createDataFrame(orders, "o_orderkey long, o_orderstatus string, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    items = [(k, n, 1, 1, 25.0 * n + k, 3_500.0 * (3 * n + k)) for k in (20, 31, 43) for n in range(1, 4)]
+    spark.createDataFrame(items, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    z = {(k // 100, k % 100): None if s == "P" else p / 500_000 * 28 for k, s, p in orders}
+    return z, {k: [((k % 90) + q / 5, k // 90 % 140 + e / 10_500) for j, _, _, _, q, e in items if j == k] for k in (20, 31, 43)}
+
+
+def test_documented_canopy_cost(spark, tmp_path):
+    z, _ = small_tables(spark, tmp_path)
+    k = {at: int(v > 1) for at, v in z.items() if v is not None}
+    got = {(r.r, r.c): (r.canopy, r.cost) for r in registry.queries()["t01_documented_canopy_cost"](spark, str(tmp_path)).collect()}
+    assert set(got) == set(k)
+    for (r, c), v in k.items():
+        near = [k[r + i, c + j] for i in range(-3, 4) for j in range(-3, 4) if i * i + j * j <= 9 and (r + i, c + j) in k]
+        m, s = np.mean(near), np.std(near)
+        far = min((math.hypot(i, j) for i in range(-10, 11) for j in range(-10, 11) if k.get((r + i, c + j))), default=10)
+        mixed = ((1 + (m - s) / (m + s)) / 2 if m + s > 0 else 0) * 0.7 + max(0, 10 - far) / 10 * 0.3
+        assert got[r, c] == (v, pytest.approx(math.exp(1 if v else mixed) ** 1.5, abs=2e-6))
+
+
+def test_fifteen_rings(spark, tmp_path):
+    z, lines = small_tables(spark, tmp_path)
+    rings = {}
+    for line, pts in lines.items():
+        for (r, c), v in z.items():
+            near = []
+            for seq, ((x1, y1), (x2, y2)) in enumerate(zip(pts, pts[1:])):
+                t = min(max(((c + 0.5 - x1) * (x2 - x1) + (r + 0.5 - y1) * (y2 - y1)) / ((x2 - x1) ** 2 + (y2 - y1) ** 2), 0), 1)
+                d = math.hypot(c + 0.5 - x1 - t * (x2 - x1), r + 0.5 - y1 - t * (y2 - y1))
+                near.append((round(d, 9), seq, d, np.sign((x2 - x1) * (r + 0.5 - y1) - (y2 - y1) * (c + 0.5 - x1))))
+            _, _, d, side = min(near)
+            if v is not None and d < 15 and side:
+                rings.setdefault((line, int(side), int(d)), []).append(v)
+    got = {(r.line_id, r.side, r.ring): r.median for r in registry.queries()["a05_fifteen_ring_medians"](spark, str(tmp_path)).collect()}
+    assert got == {k: pytest.approx(float(np.median(v)), abs=2e-6) for k, v in rings.items()} and {k[2] for k in got} == set(range(15))
+    th = lambda line, side: (lambda m: 0.3 * m if m > 1 else 1)(np.median([np.median(v) for k, v in rings.items() if k[:2] == (line, side)]))
+    out = {r.line_id: r for r in registry.queries()["t06_fifteen_ring_threshold"](spark, str(tmp_path)).collect()}
+    assert {k: r.DynCanTh for k, r in out.items()} == {k: pytest.approx((th(k, 1) + th(k, -1)) / 2, abs=2e-6) for k in lines}
+
+
+def test_change_in_a_far_ring(spark):
+    got = linear.first_change(medians(spark, [0.2] * 9 + [4.0] * 6), 15).first()
+    assert (got.cut_dist, got.cut_ht) == (10.0, 4.0)
+
+
 def plain_distance(cost, start):
     best, heap = {}, [(0.0, start)]
     while heap:
