@@ -76,7 +76,17 @@ def p02_default_keys(spark, sf_dir):
 @query(with_views("SELECT r, c, round(z, 6) AS z FROM v_cells WHERE z IS NOT NULL AND c % 2 = 0", "v_cells"))
 def p06_drop_null(spark, sf_dir):
     """Rows with a null in a subset of columns dropped."""
-    return views.cells(spark, sf_dir).na.drop(subset=["z"]).filter("c % 2 = 0").select("r", "c", F.round("z", 6).alias("z"))
+    return _valid(spark, sf_dir).filter("c % 2 = 0")
+
+
+@query()
+def p06_drop_null_all_columns(spark, sf_dir):
+    """Rows with a null in a subset of columns dropped, all columns of the raster kept."""
+    return _valid(spark, sf_dir)
+
+
+def _valid(spark, sf_dir):
+    return views.cells(spark, sf_dir).na.drop(subset=["z"]).select("r", "c", F.round("z", 6).alias("z"))
 
 
 @query(with_views("SELECT r, c, round(coalesce(z - lag(z) OVER w, 0), 6) AS change, round(avg(z) OVER (PARTITION BY r ORDER BY c ROWS BETWEEN 1 PRECEDING AND CURRENT ROW), 6) AS mid FROM v_cells WHERE z IS NOT NULL WINDOW w AS (PARTITION BY r ORDER BY c)", "v_cells"))

@@ -224,6 +224,21 @@ def test_change_in_a_far_ring(spark):
     assert (got.cut_dist, got.cut_ht) == (10.0, 4.0)
 
 
+def test_all_valid_cells(spark, tmp_path):
+    z, _ = small_tables(spark, tmp_path)
+    got = {(r.r, r.c): r.z for r in registry.queries()["p06_drop_null_all_columns"](spark, str(tmp_path)).collect()}
+    assert got == {at: pytest.approx(v, abs=1e-6) for at, v in z.items() if v is not None}
+
+
+def test_lines_at_the_limit_stay(spark, tmp_path):
+    # a box over x 17 to 22, y 29 to 34; lines along y = 30 from x = 20.5, 1.5 of them inside
+    items = [(k, n, 1, 1, 5 * (20.5 - k % 90 + (n - 1) * d), 10_500.0 * (30 - k // 90)) for k, d in ((1, 2.5), (2, 2.49), (3, 2.51)) for n in (1, 2, 3)]
+    spark.createDataFrame(items, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, 0)], "s_suppkey long, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    got = {r.line_id: (r.inside, r.mostly) for r in registry.queries()["j13_clipped_lines"](spark, str(tmp_path)).collect()}
+    assert got == {1: (1.5, True), 2: (1.5, True), 3: (1.5, False)}
+
+
 def plain_distance(cost, start):
     best, heap = {}, [(0.0, start)]
     while heap:
