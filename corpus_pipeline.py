@@ -7,11 +7,10 @@ with the columns of documents, the text as the stages so far left it.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lineament.llm import automaton, host_quality, packing, signature_tree, site_lines
 from lineament.llm.queries import tokenizer_file
-from lineament.plans.storage import sized, written
+from lineament.plans.storage import written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,10 +24,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the least doc_id of each group linked at 0.8 over five-word sets; rows without a doc_id stay."""
-    groups = signature_tree.jaccard_groups(docs, shingle=5, percent=80, cell_rows=2048)
-    lost = written(groups.filter("component_id < doc_id").select(F.col("doc_id").alias("__lost")).distinct(), "lost")
-    return docs.join(sized(lost, 8), docs["doc_id"] == lost["__lost"], "left_anti")
+    """The document of the least doc_id of each group linked at 0.8 over five-word sets; rows without a doc_id or words stay."""
+    return signature_tree.single_documents(docs, shingle=5, percent=80)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

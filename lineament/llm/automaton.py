@@ -20,7 +20,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lineament.llm.signature_tree import digest
 from lineament.llm.words import LOWER, NOT_ALNUM, Words, bounded, pieces
 from lineament.plans.storage import sized, written
 
@@ -138,14 +137,19 @@ class Block:
         names = Words(pa.array([w.decode() for w in words], pa.string()), NOT_ALNUM).names()
         order = np.argsort(names)
         self.names, self.number = names[order], order
-        self.total = len(words)
+        self.words, self.total = words, len(words)
         pairs = {a * self.total + b for s in items for a, b in zip(s, s[1:])}
         self.pairs = np.array(sorted(pairs), np.int64)
         lengths = [min(len(s), window) for s in items if s]
         self.least = min(lengths, default=window)
 
-    def find(self, names: np.ndarray, at: np.ndarray):
-        """(row, first word, end word, items) of each hit; words count from the row's first."""
+    def find(self, w: Words):
+        """(row, first word, end word, items) of each hit; words count from the row's first.
+
+        Names tell which stretches to stream; there each word is compared with
+        the item word of its name, and one that differs is none of the items'.
+        """
+        names, at = w.names(), w.at
         if not len(names) or not self.total:
             return
         where = np.minimum(np.searchsorted(self.names, names), self.total - 1)
@@ -165,7 +169,10 @@ class Block:
         row = np.searchsorted(at, begin, side="right") - 1
         for r, b, e in zip(row.tolist(), begin.tolist(), end.tolist()):
             base = b - int(at[r])
-            for i, n, items in self.automaton.stream(word[b:e].tolist()):
+            run = word[b:e].tolist()
+            body = w.data[w.start[b] : w.end[e - 1]].tobytes().translate(_TO_SPACE).split()
+            run = [c if self.words[c] == x else -1 for c, x in zip(run, body)]
+            for i, n, items in self.automaton.stream(run):
                 yield r, base + i + 1 - n, base + i + 1, items
 
 
@@ -173,7 +180,7 @@ def _scan(block: Block, w: Words) -> tuple[np.ndarray, list[set[str]]]:
     """(hit by word, items by row)."""
     found = [set() for _ in w.count]
     step = np.zeros(int(w.at[-1]) + 1, np.int64)
-    for r, i, j, items in block.find(w.names(), w.at):
+    for r, i, j, items in block.find(w):
         found[r].update(block.ids[x] for x in items)
         step[w.at[r] + i] += 1
         step[w.at[r] + j] -= 1
@@ -199,10 +206,8 @@ def _found(block, window: int):
             built = built or Block(*block.value, window)
             w = Words(b.column("text"), NOT_ALNUM, lower=True)
             hit, found = _scan(built, w)
-            names, at = w.names(), w.at.tolist()
-            keys = [digest(names[i:j]) for i, j in zip(at, at[1:])]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(keys, pa.binary()), pa.array(w.count, pa.int64()), pa.array([sorted(f) for f in found], pa.list_(pa.string())), pa.array(_spans(hit, w), pa.binary())],
+                [b.column("doc_id"), pa.array(w.digests(), pa.binary()), pa.array(w.count, pa.int64()), pa.array([sorted(f) for f in found], pa.list_(pa.string())), pa.array(_spans(hit, w), pa.binary())],
                 names=["doc_id", "key", "n_words", "items", "spans"],
             )
 
@@ -320,8 +325,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
 def _with_key(schema: T.StructType):
     def run(batches):
         for b in pieces(batches):
-            w = Words(b.column("text"), NOT_ALNUM, lower=True)
-            names, at = w.names(), w.at.tolist()
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([digest(names[i:j]) for i, j in zip(at, at[1:])], pa.binary())], names=[*schema.names, "__doc_key"])
+            keys = Words(b.column("text"), NOT_ALNUM, lower=True).digests()
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys, pa.binary())], names=[*schema.names, "__doc_key"])
 
     return run

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lineament.llm.words import BYTE, Prefix, Words, bounded, mix, pieces
+from lineament.llm.words import Words, bounded, gram_names, mix, pieces, span_names
 from lineament.plans.storage import sized, written
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
@@ -49,7 +49,7 @@ def counts(column: pa.Array) -> list[np.ndarray]:
     symbols = by_row(_symbol[data])
     names, row = w.names(), w.rows()
     start = np.flatnonzero((np.arange(len(names)) + 3 <= w.at[1:][row])) if len(names) else np.zeros(0, int)
-    many, _ = _twice(mix(Prefix(names).name(start, start + 3)), row[start])
+    many, _ = _twice(gram_names(names, 3)[start], row[start])
     cover = np.zeros(len(names) + 1, np.int64)
     np.add.at(cover, start[many], 1)
     np.add.at(cover, start[many] + 3, -1)
@@ -65,7 +65,7 @@ def counts(column: pa.Array) -> list[np.ndarray]:
     word_at = np.concatenate([[0], np.cumsum(w.inside)])
     full = word_at[end] > word_at[begin]
     begin, end, line_row = begin[full], end[full], line_row[full]
-    _, again = _twice(mix(Prefix(BYTE[data]).name(begin, end) + (end - begin).astype(np.uint64)), line_row)
+    _, again = _twice(span_names(data, begin, end), line_row)
     dup = np.bincount(line_row, weights=again, minlength=n).astype(np.int64)
     return [w.count, chars, symbols, dup, repeat, np.bincount(line_row, minlength=n)]
 

@@ -10,13 +10,14 @@ before it could take it into a pair, and likewise at its right end.
 
 A window of words is named by the first safe symbol of the last round in which
 it has one.  Equal windows are named alike, so only windows whose symbol occurs
-in two different texts can repeat; those are verified word by word names of the
-whole window.  Windows that share their symbol at one place travel as one entry.
+in two different texts can repeat.  Those are met again under a 128-bit
+cryptographic digest of their words, which stands for the words themselves.
+Windows that share their symbol at one place travel as one entry.
 """
 
 from __future__ import annotations
 
-from hashlib import sha256
+from hashlib import blake2b, sha256
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lineament.llm.packed import SHAPE, Entries, dealt, decided, later, parts_of, shared
-from lineament.llm.signature_tree import digest, node
-from lineament.llm.words import POWERS2, Prefix, Words, bounded, mix, pieces
+from lineament.llm.signature_tree import node
+from lineament.llm.words import Words, bounded, mix, pieces
 from lineament.plans.storage import sized, written
 
 WINDOW, ROUNDS = 50, 12
@@ -85,8 +86,7 @@ TEXT = "doc_id long, n_words long, sha string, digest binary, node long"
 def _texts(batches):
     for b in pieces(batches):
         w = Words(b.column("text"))
-        names, at = w.names(), w.at.tolist()
-        keys = [digest(names[i:j]) for i, j in zip(at, at[1:])]
+        keys = w.digests()
         shas = [sha256(w.kept(i)).hexdigest() for i in range(b.num_rows)]
         yield pa.RecordBatch.from_arrays(
             [b.column("doc_id"), pa.array(w.count, pa.int64()), pa.array(shas), pa.array(keys, pa.binary()), pa.array([node(k) for k in keys], pa.int64())], names=["doc_id", "n_words", "sha", "digest", "node"]
@@ -100,7 +100,7 @@ def _symbols(window: int, parts: int):
             names, at = w.names(), w.at
             start, symbol, place = window_symbols(names, at, window)
             row = np.searchsorted(at, start, side="right") - 1
-            keys = np.array([node(digest(names[i:j])) for i, j in zip(at[:-1].tolist(), at[1:].tolist())], np.int64)
+            keys = np.array([node(k) for k in w.digests()], np.int64)
             if not len(start):
                 continue
             lead = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (symbol[1:] != symbol[:-1]) | (row[1:] != row[:-1])]))
@@ -111,24 +111,24 @@ def _symbols(window: int, parts: int):
     return lambda batches: dealt(entries(batches), shared, parts)
 
 
-def _ranges(owner: np.ndarray, payload: np.ndarray) -> pa.RecordBatch:
-    order = np.lexsort((payload, owner))
-    owner, payload = owner[order], payload[order]
-    cut = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])).tolist()
-    ends = [*cut[1:], len(owner)]
-    return pa.RecordBatch.from_arrays([pa.array(owner[cut]), pa.array([payload[i:j].tobytes() for i, j in zip(cut, ends)], pa.binary())], names=["node", "ranges"])
+def _gathered(e: Entries, owner: str, payloads: str) -> pa.RecordBatch:
+    """A row an owner, with its payloads as one binary."""
+    e = e.take(np.lexsort((e.payload, e.owner)))
+    cut = np.flatnonzero(np.concatenate([[True], e.owner[1:] != e.owner[:-1]])).tolist()
+    ends = [*cut[1:], len(e)]
+    return pa.RecordBatch.from_arrays([pa.array(e.owner[cut]), pa.array([e.payload[i:j].tobytes() for i, j in zip(cut, ends)], pa.binary())], names=[owner, payloads])
 
 
 def _windows(window: int, parts: int):
-    """Entries of the windows within a row's ranges: (name, doc_id, place), a second name of the window folded into the first."""
+    """Entries of the windows within a row's ranges: (128 bits for the window's words, doc_id, place and some bits of the text's digest)."""
 
     def entries(batches):
         for b in pieces(batches):
             w = Words(b.column("text"))
-            names, at = w.names(), w.at.tolist()
+            at = w.at.tolist()
             starts, rows, tags = [], [], []
-            for i, (d, ranges) in enumerate(zip(b.column("digest").to_pylist(), b.column("ranges").to_pylist())):
-                if d != digest(names[at[i] : at[i + 1]]):
+            for i, (d, k, ranges) in enumerate(zip(b.column("digest").to_pylist(), w.digests(), b.column("ranges").to_pylist())):
+                if d != k:
                     continue
                 x = np.frombuffer(b"".join(ranges), np.int64)
                 first, size = x >> TAG, x & MASK
@@ -139,26 +139,24 @@ def _windows(window: int, parts: int):
             if not starts:
                 continue
             s, row = np.concatenate(starts), np.concatenate(rows)
-            name = mix(Prefix(names).name(s, s + window)) + Prefix(mix(names + _u(77)), POWERS2).name(s, s + window)
+            body, begin, end = w.spaced()
+            body = memoryview(body)
+            key = np.frombuffer(b"".join([blake2b(body[i:j], digest_size=16).digest() for i, j in zip(begin[s].tolist(), end[s + window - 1].tolist())]), np.uint64)
             ids = b.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-            yield Entries(mix(name), ids[row], ((s - np.array(at)[row]) << TAG) | np.concatenate(tags))
+            yield Entries(key[::2], ids[row], ((s - np.array(at)[row]) << TAG) | np.concatenate(tags), key[1::2])
 
     return lambda batches: dealt(entries(batches), later, parts)
 
 
-def _places(owner: np.ndarray, payload: np.ndarray) -> pa.RecordBatch:
-    return _ranges(owner, payload).rename_columns(["doc_id", "places"])
-
-
 def _kept(window: int):
     def run(batches):
         for b in pieces(batches):
             w = Words(b.column("text"))
-            names, at = w.names(), w.at.tolist()
+            at = w.at.tolist()
             ids, keys, removed, shas = [], [], [], []
-            for i, (doc, d, places) in enumerate(zip(b.column("doc_id").to_pylist(), b.column("digest").to_pylist(), b.column("places").to_pylist())):
+            for i, (doc, d, k, places) in enumerate(zip(b.column("doc_id").to_pylist(), b.column("digest").to_pylist(), w.digests(), b.column("places").to_pylist())):
                 n = at[i + 1] - at[i]
-                if d != digest(names[at[i] : at[i + 1]]):
+                if d != k:
                     continue
                 step = np.zeros(n + 1, np.int64)
                 x = np.frombuffer(b"".join(places), np.int64)
@@ -192,12 +190,12 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     long = texts.filter(F.col("doc_id").isNotNull() & (F.col("n_words") >= window))
     firsts = written(long.groupBy("digest", "node").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("other")), "firsts")
     met = docs.filter("doc_id is not null").mapInArrow(_symbols(window, parts), SHAPE)
-    ranges = decided(met, shared, _ranges, "node long, ranges binary").groupBy("node").agg(F.collect_list("ranges").alias("ranges"))
+    ranges = decided(met, shared, lambda e: _gathered(e, "node", "ranges"), "node long, ranges binary").groupBy("node").agg(F.collect_list("ranges").alias("ranges"))
     wanted = written(ranges.join(firsts.select("node", "digest", F.col("first").alias("doc_id")), "node").select("doc_id", "digest", "ranges"), "ranges")
     # the texts are shuffled once; only those with a shared symbol go on
     held = written(docs.join(wanted, "doc_id"), "held")
     windows = held.mapInArrow(_windows(window, parts), SHAPE)
-    places = decided(windows, later, _places, "doc_id long, places binary", tasks=1).groupBy("doc_id").agg(F.collect_list("places").alias("places"))
+    places = decided(windows, later, lambda e: _gathered(e, "doc_id", "places"), "doc_id long, places binary", tasks=1).groupBy("doc_id").agg(F.collect_list("places").alias("places"))
     cut = written(held.drop("ranges").join(places, "doc_id").mapInArrow(_kept(window), "doc_id long, digest binary, removed long, kept string").distinct(), "cut")
     copies = firsts.filter("other > first").select("digest", "first")
     out = texts.join(sized(copies, 48), "digest", "left").join(sized(cut, 200), ["doc_id", "digest"], "left")

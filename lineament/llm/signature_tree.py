@@ -1,42 +1,46 @@
 """N-gram Jaccard join by signature trees.
 
-A text's set holds the 64-bit names of its word n-grams.  Equal sets form one
-class and only its first document goes on.  What could link meets in two
-exact steps:
+A text's set holds the 64-bit names of its word n-grams.  Texts with the same
+words form one class, of which one stands for all.  What could link is found in
+steps of which none leaves out a linked pair:
 
-* Cells.  A set of a size class is cut into K ranges of hash values, K being
+* Names.  A set of a size class is cut into K ranges of hash values, K being
   more than the largest symmetric difference that still links plus an allowance
   for empty ranges, so two linked sets agree on a whole non-empty range.  Small
   sets, and those with more empty ranges than allowed, meet on a member of
-  their prefix of least names instead.  The range names travel as packed arrays
-  and only name the cells, which are the components of sets that share one.
-* Trees.  In a cell, leaves of sets of similar size carry token bitmaps; a node
-  holds the OR of its children's bitmaps, their size range, and the largest
-  number of tokens of one set that fell on a bit already taken.  Two trees, or
-  one with itself, are walked together; a pair of nodes is left when its
-  largest possible overlap is too small for its sizes, or when all below it are
-  linked already.  What stays is compared set against set.
-
-A cell of more than CELL sets is cut into blocks: each set is first compared
-with the cell's first; those it links need no comparison among themselves.
+  their prefix of least names instead.  Range names travel as packed arrays.
+* Leaders.  The least class of a name leads it.  Each class meets each of its
+  leaders once, however many names they share.
+* Trees.  All that meet one leader are its cell, so classes that share a name
+  share a cell.  Leaves hold token bitmaps of sets of similar size; a node holds
+  the OR of its children's bitmaps, their size range, and the largest number of
+  tokens of one set that fell on a bit already taken.  Two trees, or one with
+  itself, are walked together; a pair of nodes is left when its largest possible
+  overlap is too small for its sizes, or when all below it are linked already.
+
+Only bitmaps and sizes are sent to cells.  Texts are sent for the pairs that the
+trees leave, and those pairs are compared word by word.
 """
 
 from __future__ import annotations
 
 import math
-from hashlib import blake2b
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lineament.llm.packed import SHAPE, Entries, dealt, decided, parts_of, star
-from lineament.llm.words import Prefix, Words, bounded, mix, pieces, trim
+from lineament.llm.packed import SHAPE, Entries, dealt, decided, parts_of, shared
+from lineament.llm.words import Words, bounded, gram_names, mix, pieces, trim, unused
 from lineament.operators.graph import components
-from lineament.plans.storage import partitions, sized, written
+from lineament.plans.storage import dropped, partitions, sized, written
 
-SMALL, RATIO, CELL, LEAF, FAN = 32, 1.5, 4096, 32, 8
+SMALL, RATIO, CELL, LEAF, FAN = 32, 1.5, 8192, 32, 8
+#: Pairs of two linked groups that a first walk of a cell gives, and how many times more each later one does.
+FIRST, MORE = 8, 16
 _u = np.uint64
 
 
@@ -62,12 +66,14 @@ def size_classes(percent: int, top: int) -> list[tuple[int, int, int]]:
 def shingle_sets(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(names, at): each row's distinct n-grams in order of name; fewer words are one gram, none give none."""
     names, at, count = words.names(), words.at, words.count
-    sums = Prefix(names)
     grams = np.where(count >= n, count - n + 1, np.minimum(count, 1))
     out_at = np.concatenate([[0], np.cumsum(grams)])
     start = np.arange(out_at[-1]) - np.repeat(out_at[:-1], grams) + np.repeat(at[:-1], grams)
-    end = np.minimum(start + n, np.repeat(at[1:], grams))
-    value = mix(sums.name(start, end))
+    value, whole = np.zeros(len(start), np.uint64), np.repeat(count >= n, grams)
+    value[whole] = gram_names(names, n)[start[whole]]
+    for c in set(count[(count > 0) & (count < n)].tolist()):
+        rows = np.flatnonzero(count == c)
+        value[out_at[rows]] = gram_names(names, c)[at[rows]]
     for a, b in zip(out_at[:-1].tolist(), out_at[1:].tolist()):
         value[a:b].sort()
     fresh = np.ones(len(value), bool)
@@ -106,24 +112,50 @@ def meeting_names(value: np.ndarray, at: np.ndarray, percent: int) -> tuple[np.n
     return np.concatenate(names), np.concatenate(rows)
 
 
-def digest(values: np.ndarray) -> bytes:
-    return blake2b(values.tobytes(), digest_size=16).digest()
-
-
 def node(key: bytes) -> int:
-    """What stands for a digest while cells are looked for; the digests that share one only share a cell."""
+    """What stands for a digest where 64 bits do."""
     return int.from_bytes(key[:8], "little", signed=True)
 
 
-SET = "doc_id long, n_shingles long, digest binary, node long"
+def signature(tokens: np.ndarray) -> bytes:
+    """A set's bitmap: one and a half to three bits for each token, 64 at least."""
+    bits = max(64, 1 << math.ceil(math.log2(1.5 * len(tokens) + 1)))
+    out = np.zeros(bits, bool)
+    out[((tokens >> _u(20)) & _u(bits - 1)).astype(np.int64)] = True
+    return np.packbits(out, bitorder="little").tobytes()
+
+
+def folded(bitmap: np.ndarray, words: int) -> np.ndarray:
+    """A bitmap, or rows of them, as if it had been made with that many 64-bit words."""
+    while bitmap.shape[-1] > words:
+        half = bitmap.shape[-1] // 2
+        bitmap = bitmap[..., :half] | bitmap[..., half:]
+    return bitmap
+
+
+def possible(nx: int, x: bytes, ny: int, y: bytes, percent: int) -> bool:
+    """Whether two sets' sizes and bitmaps leave room for a link: a bit that one has alone is a token that it has alone."""
+    a, b = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+    words = min(len(a), len(b))
+    a, b = folded(a, words), folded(b, words)
+    most = min(nx - int(np.bitwise_count(a & ~b).sum()), ny - int(np.bitwise_count(b & ~a).sum()))
+    return most >= overlap_needed(nx, ny, percent)
+
+
+SET = "doc_id long, n_shingles long, digest binary, node long, bitmap binary"
 
 
 def _sets(n: int):
     def run(batches):
         for b in pieces(batches):
-            value, at = shingle_sets(Words(b.column("text"), lower=True), n)
-            keys = [digest(value[i:j]) for i, j in zip(at[:-1].tolist(), at[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(np.diff(at), pa.int64()), pa.array(keys, pa.binary()), pa.array([node(k) for k in keys], pa.int64())], names=["doc_id", "n_shingles", "digest", "node"])
+            words = Words(b.column("text"), lower=True)
+            value, at = shingle_sets(words, n)
+            keys = words.digests()
+            maps = [signature(value[i:j]) if j > i else None for i, j in zip(at[:-1].tolist(), at[1:].tolist())]
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id").cast(pa.int64()), pa.array(np.diff(at), pa.int64()), pa.array(keys, pa.binary()), pa.array([node(k) for k in keys], pa.int64()), pa.array(maps, pa.binary())],
+                names=["doc_id", "n_shingles", "digest", "node", "bitmap"],
+            )
 
     return run
 
@@ -131,182 +163,272 @@ def _sets(n: int):
 def _meetings(n: int, percent: int, parts: int):
     def entries(batches):
         for b in pieces(batches):
-            value, at = shingle_sets(Words(b.column("text"), lower=True), n)
-            key = np.array([node(digest(value[i:j])) for i, j in zip(at[:-1].tolist(), at[1:].tolist())], np.int64)
+            words = Words(b.column("text"), lower=True)
+            value, at = shingle_sets(words, n)
+            key = np.array([node(k) for k in words.digests()], np.int64)
             name, row = meeting_names(value, at, percent)
-            yield Entries(name, key[row], np.zeros(len(row), np.int64))
+            yield Entries(name, key[row])
 
-    return lambda batches: dealt(entries(batches), star, parts)
+    return lambda batches: dealt(entries(batches), shared, parts)
 
 
-def _stars(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    pair = np.unique(np.stack([a, b], 1), axis=0)
-    return pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
+def _met(e: Entries) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(e.name.view(np.int64)), pa.array(e.owner)], names=["name", "node"])
+
+
+def _possible(percent: int):
+    def run(batches):
+        for b in batches:
+            keep = [possible(*x, percent) for x in zip(*(b.column(k).to_pylist() for k in ("n_a", "bitmap_a", "n_b", "bitmap_b")))]
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
 
 
 class Tree:
-    """Signature tree over sets sorted by size; levels from leaves' members up."""
-
-    def __init__(self, sets: list[np.ndarray], bits: int):
-        self.sets, self.size = sets, np.array([len(s) for s in sets])
-        self.maps = np.zeros((len(sets), bits // 64), np.uint64)
-        for m, s in zip(self.maps, sets):
-            at = (s >> _u(20)) % _u(bits)
-            np.bitwise_or.at(m, (at >> _u(6)).astype(int), _u(1) << (at & _u(63)))
+    """Signature tree over members (node, label, size, bitmap) given in the order of its leaves; levels from leaves up.
+
+    A level has, by node: the OR of bitmaps, least and largest size, the most
+    tokens that one set has beyond its bits, least and largest label, first and
+    end member.
+    """
+
+    def __init__(self, members: list[tuple], words: int):
+        self.node = [m[0] for m in members]
+        self.label, self.size = (np.array([m[k] for m in members], np.int64) for k in (1, 2))
+        self.maps = np.stack([folded(np.frombuffer(m[3], "<u8"), words) for m in members])
         slack = self.size - np.bitwise_count(self.maps).sum(1, dtype=np.int64)
-        #: (bitmap, least size, largest size, slack, first member, end member) of the nodes of each level
         self.levels = []
-        step, (m, lo, hi, sl) = LEAF, (self.maps, self.size, self.size, slack)
-        edges = np.arange(0, len(sets), LEAF)
+        step, rows = LEAF, (self.maps, self.size, self.size, slack, self.label, self.label)
         while True:
-            at = edges if not self.levels else np.arange(0, len(self.levels[-1][1]), FAN)
-            m, lo, hi, sl = np.bitwise_or.reduceat(m, at), np.minimum.reduceat(lo, at), np.maximum.reduceat(hi, at), np.maximum.reduceat(sl, at)
+            at = np.arange(0, len(rows[1]), FAN if self.levels else LEAF)
+            ways = (np.bitwise_or, np.minimum, np.maximum, np.maximum, np.minimum, np.maximum)
+            rows = tuple(way.reduceat(x, at) for way, x in zip(ways, rows))
             start = np.arange(len(at)) * step
-            self.levels.append((m, lo, hi, sl, start, np.minimum(start + step, len(sets))))
+            self.levels.append((*rows, start, np.minimum(start + step, len(members))))
             step *= FAN
             if len(at) == 1:
                 break
 
+    def children(self, level: int, i: int) -> list[tuple[int, int]]:
+        return [(level - 1, j) for j in range(i * FAN, min((i + 1) * FAN, len(self.levels[level - 1][1])))]
 
-class Forest:
-    """Union-find over members; same() tells whether a span is linked throughout."""
-
-    def __init__(self, n: int):
-        self.up = np.arange(n)
-
-    def find(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = self.up[self.up[x]]
-            x = self.up[x]
-        return int(x)
 
-    def union(self, a: int, b: int) -> bool:
-        a, b = self.find(a), self.find(b)
-        self.up[max(a, b)] = min(a, b)
-        return a != b
-
-    def roots(self, at: np.ndarray) -> np.ndarray:
-        r = self.up[at]
-        while (nxt := self.up[r]).tolist() != r.tolist():
-            r = nxt
-        self.up[at] = r
-        return r
+def grouped(members: list[tuple]) -> dict[int, list[tuple]]:
+    """Members by their bitmap's words, in the order of leaves: of similar size, then by label."""
+    out: dict[int, list[tuple]] = {}
+    for m in sorted(members, key=lambda m: (len(m[3]), int(math.log(m[2]) * 10), m[1], m[0])):
+        out.setdefault(len(m[3]) // 8, []).append(m)
+    return out
 
 
-def tree_links(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int) -> list[tuple[int, int]]:
-    """A spanning set of the links inside left, or between left and right.
+def tree_pairs(left: list[tuple], right: list[tuple] | None, percent: int, limit: int) -> tuple[list[tuple[int, int]], bool]:
+    """Pairs of members of different labels that may link, inside left or between left and right.
 
-    Members count on from left into right.  With right given, each side is held
-    to have been dealt with inside already.  Every linked pair is joined by the
-    links returned (and, with right, by the links inside the sides).
+    Of two labels' pairs `limit` at most are given, and whether there are more.
     """
-    longest = max(map(len, left + (right or [])), default=1)
-    bits = max(128, 1 << math.ceil(math.log2(4 * longest + 1)))
-    bits = min(bits, 1 << 15)
-    a_order = sorted(range(len(left)), key=lambda i: (len(left[i]), left[i][:1].tobytes()))
-    a = Tree([left[i] for i in a_order], bits)
-    if right is None:
-        b, b_order = a, a_order
-    else:
-        b_order = sorted(range(len(right)), key=lambda i: (len(right[i]), right[i][:1].tobytes()))
-        b = Tree([right[i] for i in b_order], bits)
-    ida = np.array(a_order)
-    idb = ida if right is None else np.array(b_order) + len(left)
-    forest, out = Forest(len(left) + len(right or [])), []
-    stack = [(len(a.levels) - 1, 0, len(b.levels) - 1, 0)]
-    while stack:
-        la, na, lb, nb = stack.pop()
-        ma, loa, hia, sla, sa, ea = (x[na] for x in a.levels[la])
-        mb, lob, hib, slb, sb, eb = (x[nb] for x in b.levels[lb])
-        if hia * 100 < percent * lob or hib * 100 < percent * loa:
-            continue
-        most = min(int(np.bitwise_count(ma & mb).sum()) + min(int(sla), int(slb)), int(hia), int(hib))
-        if most < overlap_needed(int(loa), int(lob), percent):
-            continue
-        if len(ra := np.unique(forest.roots(ida[sa:ea]))) == 1 and len(rb := np.unique(forest.roots(idb[sb:eb]))) == 1 and ra[0] == rb[0] and not (right is None and sa == sb and ea - sa == 1):
-            continue
-        if la or lb:
-            down_a = [(la - 1, i) for i in range(na * FAN, min((na + 1) * FAN, len(a.levels[la - 1][1])))] if la and la >= lb else [(la, na)]
-            down_b = [(lb - 1, i) for i in range(nb * FAN, min((nb + 1) * FAN, len(b.levels[lb - 1][1])))] if lb and lb >= la else [(lb, nb)]
-            pairs = [(x, i, y, j) for x, i in down_a for y, j in down_b if right is not None or (x, i) <= (y, j)]
-            stack += sorted(pairs, key=lambda p: p[1] == p[3])  # nodes with themselves first
-            continue
-        size_a, size_b = a.size[sa:ea, None], b.size[None, sb:eb]
-        miss_a = np.bitwise_count(a.maps[sa:ea, None] & ~b.maps[None, sb:eb]).sum(2, dtype=np.int64)
-        miss_b = np.bitwise_count(b.maps[None, sb:eb] & ~a.maps[sa:ea, None]).sum(2, dtype=np.int64)
-        able = np.minimum(size_a - miss_a, size_b - miss_b) >= overlap_needed(size_a, size_b, percent)
-        if right is None and sa == sb:
-            able &= np.arange(ea - sa)[:, None] < np.arange(eb - sb)[None]
-        for i, j in np.argwhere(able).tolist():
-            x, y = int(ida[sa + i]), int(idb[sb + j])
-            if forest.find(x) == forest.find(y):
+    out: list[tuple[int, int]] = []
+    given: dict[tuple[int, int], int] = {}
+    more = False
+
+    def walk(a: Tree, b: Tree) -> None:
+        nonlocal more
+        stack = [(len(a.levels) - 1, 0, len(b.levels) - 1, 0)]
+        while stack:
+            la, na, lb, nb = stack.pop()
+            ma, loa, hia, sla, fa, ta, sa, ea = (x[na] for x in a.levels[la])
+            mb, lob, hib, slb, fb, tb, sb, eb = (x[nb] for x in b.levels[lb])
+            if fa == ta == fb == tb or hia * 100 < percent * lob or hib * 100 < percent * loa:
                 continue
-            p, q = a.sets[sa + i], b.sets[sb + j]
-            both = np.count_nonzero(q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p)
-            if both >= overlap_needed(len(p), len(q), percent):
-                forest.union(x, y)
-                out.append((x, y))
-    return out
-
-
-def _cell_sets(n: int):
-    """Rows of a cell with their sets; a row whose text isn't the one meant is left out."""
-
-    def run(batches):
-        for b in pieces(batches):
-            value, at = shingle_sets(Words(b.column("text"), lower=True), n)
-            ranges = list(zip(at[:-1].tolist(), at[1:].tolist()))
-            own = [i for i, (d, (x, y)) in enumerate(zip(b.column("digest").to_pylist(), ranges)) if d == digest(value[x:y])]
-            take = pa.array(own, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").take(take), b.column("cell").take(take), pa.array([value[slice(*ranges[i])].tobytes() for i in own], pa.binary())], names=["doc_id", "cell", "names"]
-            )
+            most = min(int(np.bitwise_count(ma & mb).sum()) + min(int(sla), int(slb)), int(hia), int(hib))
+            if most < overlap_needed(int(loa), int(lob), percent):
+                continue
+            if fa == ta and fb == tb and given.get((min(fa, fb), max(fa, fb)), 0) >= limit:
+                more = True
+                continue
+            if la or lb:
+                down_a = a.children(la, na) if la and la >= lb else [(la, na)]
+                down_b = b.children(lb, nb) if lb and lb >= la else [(lb, nb)]
+                stack += [(*x, *y) for x in down_a for y in down_b if a is not b or x <= y]
+                continue
+            rows = max(1, (1 << 18) // ((eb - sb) * a.maps.shape[1]))
+            for r in range(sa, ea, rows):
+                x, y = a.maps[r : min(r + rows, ea), None], b.maps[None, sb:eb]
+                size_a, size_b = a.size[r : r + x.shape[0], None], b.size[None, sb:eb]
+                over = np.minimum(size_a - np.bitwise_count(x & ~y).sum(2, dtype=np.int64), size_b - np.bitwise_count(y & ~x).sum(2, dtype=np.int64))
+                able = (over >= overlap_needed(size_a, size_b, percent)) & (a.label[r : r + x.shape[0], None] != b.label[None, sb:eb])
+                if a is b and na == nb:
+                    able &= np.arange(r, r + x.shape[0])[:, None] < np.arange(sb, eb)[None]
+                for i, j in np.argwhere(able).tolist():
+                    p, q = r + i, sb + j
+                    key = (int(min(a.label[p], b.label[q])), int(max(a.label[p], b.label[q])))
+                    if (n := given.get(key, 0)) >= limit:
+                        more = True
+                        continue
+                    given[key] = n + 1
+                    out.append((a.node[p], b.node[q]))
+
+    groups_a = grouped(left)
+    groups_b = groups_a if right is None else grouped(right)
+    for wa, xs in groups_a.items():
+        for wb, ys in groups_b.items():
+            if right is None and wb < wa:
+                continue
+            words = min(wa, wb)
+            a = Tree(xs, words)
+            walk(a, a if xs is ys else Tree(ys, words))
+    return out, more
 
-    return run
 
+def _walked(percent: int, limit: int):
+    """Cells (c, i, j) of rows sorted by cell, one cell at a time; a row without ends says that there are more pairs."""
 
-def _by_tree(percent: int):
-    def links(ids, sides, sets):
-        keep = {(i, s): k for k, (i, s) in enumerate(zip(ids, sides))}
-        left = [k for (i, s), k in keep.items() if s == 0]
-        right = [k for (i, s), k in keep.items() if s == 1]
-        order = left + right
-        found = tree_links([sets[k] for k in left], [sets[k] for k in right] if right else None, percent)
-        return [(ids[order[x]], ids[order[y]]) for x, y in found]
+    def found(left, right):
+        pairs, more = tree_pairs(left, right or None, percent, limit) if len(left) + len(right) > 1 else ([], False)
+        return [*pairs, *([(None, None)] if more else [])]
 
     def run(batches):
-        cell, ids, sides, sets = None, [], [], []
-        for b in batches:
+        cell, left, right = None, [], []
+        for b in chain(batches, [None]):
             out = []
-            for c, i, s, x in zip(*(b.column(k).to_pylist() for k in ("cell", "doc_id", "side", "names"))):
+            for *c, side, node_, label, n, bitmap in zip(*(b.column(k).to_pylist() for k in ("c", "i", "j", "side", "node", "label", "n", "bitmap"))) if b else [(None,) * 8]:
                 if c != cell:
-                    out += links(ids, sides, sets) if len(ids) > 1 else []
-                    cell, ids, sides, sets = c, [], [], []
-                ids.append(i)
-                sides.append(s)
-                sets.append(np.frombuffer(x, np.uint64))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int64()), pa.array([q for _, q in out], pa.int64())], names=["a", "b"])
-        if len(ids) > 1 and (out := links(ids, sides, sets)):
+                    out += found(left, right) if left else []
+                    cell, left, right = c, [], []
+                (right if side else left).append((node_, label, n, bitmap))
             yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int64()), pa.array([q for _, q in out], pa.int64())], names=["a", "b"])
-        ids, sides, sets = [], [], []
         trim()
 
     return run
 
 
-def _hub_links(percent: int):
+def _texts(batches):
+    """Rows (node, digest, text) whose text has the words that the digest stands for."""
+    for b in pieces(batches):
+        own = [d == k for d, k in zip(b.column("digest").to_pylist(), Words(b.column("text"), lower=True).digests())]
+        yield b.select(["node", "text"]).filter(pa.array(own, pa.bool_()))
+
+
+def words_link(x: bytes, y: bytes, n: int, percent: int) -> bool:
+    """Whether two lower-cased texts link, by their words themselves."""
+    a, b = x.split(), y.split()
+    number: dict[bytes, int] = {}
+    ids = np.fromiter((number.setdefault(w, len(number)) for w in chain(a, b)), np.int64, len(a) + len(b))
+    if min(len(a), len(b)) < n:
+        return a == b
+    ends, grams = (len(a), len(a) + len(b)), ids
+    for k in range(1, n):  # each step numbers the grams of one word more; those across the texts' border are left out below
+        grams = np.unique(grams[:-1] * len(number) + ids[k:], return_inverse=True)[1]
+    p, q = np.unique(grams[: ends[0] - n + 1]), np.unique(grams[ends[0] :])
+    return len(np.intersect1d(p, q, assume_unique=True)) >= overlap_needed(len(p), len(q), percent)
+
+
+def _linked(n: int, percent: int):
     def run(batches):
-        for b in batches:
-            linked = []
-            for x, y in zip(b.column("names").to_pylist(), b.column("hub_names").to_pylist()):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                linked.append(len(np.intersect1d(p, q, assume_unique=True)) >= overlap_needed(len(p), len(q), percent))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("cell"), pa.array(linked, pa.bool_())], names=["doc_id", "cell", "linked"])
+        for b in pieces(batches, "x"):
+            x, y = Words(b.column("x"), lower=True), Words(b.column("y"), lower=True)
+            (p, at), (q, bt) = shingle_sets(x, n), shingle_sets(y, n)
+            keep = []
+            for i in range(b.num_rows):
+                s, t = p[at[i] : at[i + 1]], q[bt[i] : bt[i + 1]]
+                both = np.count_nonzero(t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s) if len(t) else 0
+                near = both >= overlap_needed(len(s), len(t), percent)
+                keep.append(near and words_link(x.data[x.off[i] : x.off[i + 1]].tobytes(), y.data[y.off[i] : y.off[i + 1]].tobytes(), n, percent))
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
+def _compared(docs: DataFrame, pairs: DataFrame, members: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The pairs (a, b), a stored table, whose texts link; each text is sent once for all its pairs as a, and by pair as b."""
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = written(ends.join(members.select("node", "doc_id", "digest"), "node"), "wanted")
+    texts = docs.join(sized(wanted, 64), "doc_id").select("node", "digest", "text").mapInArrow(_texts, "node long, text string")
+    texts = written(texts.groupBy("node").agg(F.first("text").alias("text")), "texts")
+    x, y = texts.select(F.col("node").alias("a"), F.col("text").alias("x")), texts.select(F.col("node").alias("b"), F.col("text").alias("y"))
+    links = written(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_linked(shingle, percent), "a long, b long"), "links")
+    dropped(wanted)
+    dropped(texts)
+    return links
+
+
+def _cells(stars: DataFrame, members: DataFrame, labels: DataFrame, cell_rows: int) -> DataFrame:
+    """Rows (c, i, j, side, node, label, n, bitmap) of the leaders' cells that hold two labels.
+
+    A cell of more than cell_rows is dealt into blocks by hash, and each two of
+    them meet as sides of a cell of their own.
+    """
+    rows = stars.select(F.col("a").alias("c"), F.col("b").alias("node"))
+    rows = rows.join(sized(labels, 32), "node", "left").select("c", "node", F.coalesce("component", "node").alias("label"))
+    count = rows.groupBy("c").agg(F.count("*").alias("size"), F.min("label").alias("least"), F.max("label").alias("most")).filter("least < most")
+    count = written(count.select("c", F.ceil(F.col("size") / cell_rows).cast("int").alias("blocks")), "open")
+    rows = rows.join(sized(count, 32), "c").join(sized(members.select("node", F.col("n_shingles").alias("n"), "bitmap"), 600), "node")
+    rows = rows.withColumn("block", F.expr("cast(pmod(xxhash64(node), blocks) as int)")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    return rows.select("c", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), "node", "label", "n", "bitmap")
+
+
+def linked_classes(docs: DataFrame, shingle: int, percent: int, cell_rows: int = CELL) -> tuple[DataFrame, DataFrame]:
+    """(sets, groups) of docs (doc_id, text).
+
+    sets has a row for each of docs: doc_id, n_shingles, digest, node, bitmap.
+    groups has, for each digest whose class isn't one row alone, the least
+    doc_id (component) and its digest (leader) among all texts linked with it.
+    """
+    spark = docs.sparkSession
+    sets = written(docs.mapInArrow(_sets(shingle), SET), "sets")
+    some = sets.filter("n_shingles > 0 and doc_id is not null")
+    firsts = written(some.groupBy("digest", "node").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows")), "firsts")
+    met = docs.filter("doc_id is not null").mapInArrow(_meetings(shingle, percent, parts_of(spark)), SHAPE)
+    met = written(decided(met, shared, _met, "name long, node long"), "met")
+    leads = met.groupBy("name").agg(F.min("node").alias("a"))
+    stars = written(met.join(leads, "name").filter("node <> a").select("a", F.col("node").alias("b")).distinct(), "stars")
+    dropped(met)
+    ends = stars.select(F.col("a").alias("node")).union(stars.select(F.col("b").alias("node"))).distinct()
+    chosen = written(ends.join(firsts.select("node", "digest", F.col("first").alias("doc_id")), "node"), "chosen")
+    own = sets.select("doc_id", "digest", "n_shingles", "bitmap").join(sized(chosen, 64), ["doc_id", "digest"])
+    members = written(own.dropDuplicates(["doc_id", "digest"]).select("node", "doc_id", "digest", "n_shingles", "bitmap"), "members")
+    dropped(chosen)
+
+    # each class with its leaders
+    sizes = members.select("node", "n_shingles")
+    pairs = stars.join(sizes.toDF("a", "n_a"), "a").join(sizes.toDF("b", "n_b"), "b").filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    maps = members.select("node", "bitmap")
+    pairs = pairs.join(maps.toDF("a", "bitmap_a"), "a").join(maps.toDF("b", "bitmap_b"), "b")
+    pairs = written(pairs.select("a", "b", "n_a", "n_b", "bitmap_a", "bitmap_b").mapInArrow(_possible(percent), "a long, b long"), "pairs")
+    links = [_compared(docs, pairs, members, shingle, percent)]
+    dropped(pairs)
+
+    # what met the same leader, by trees, as long as two linked groups may have more pairs than a walk gave
+    limit, labels = FIRST, written(components(links[0]), "labels")
+    while True:
+        cells = _cells(stars, members, labels, cell_rows)
+        cells = cells.repartition(partitions(spark), "c", "i", "j").sortWithinPartitions("c", "i", "j")
+        pairs = written(cells.mapInArrow(_walked(percent, limit), "a long, b long").distinct(), "pairs")
+        links.append(_compared(docs, pairs.filter("a is not null"), members, shingle, percent))
+        more = pairs.filter("a is null").limit(1).count()
+        dropped(pairs)
+        dropped(labels)
+        every = links[0]
+        for one in links[1:]:
+            every = every.union(one)
+        labels = written(components(every), "labels")
+        if not more:
+            break
+        limit *= MORE
+    for one in links:
+        dropped(one)
+    dropped(stars)
+    dropped(members)
+    tops = firsts.join(labels, "node", "left").withColumn("group", F.coalesce("component", "node"))
+    least = tops.groupBy("group").agg(F.min(F.struct(F.col("first").alias("component"), F.col("digest").alias("leader"))).alias("top"), F.sum("rows").alias("rows_"))
+    groups = tops.select("digest", "group").join(least.filter("rows_ > 1"), "group").select("digest", "top.component", "top.leader")
+    return sets, written(groups, "groups")
+
+
+def _read(docs: DataFrame) -> DataFrame:
+    return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
 def jaccard_groups(docs: DataFrame, shingle: int = 3, percent: int = 90, cell_rows: int = CELL) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text, ...).
 
@@ -314,45 +436,36 @@ def jaccard_groups(docs: DataFrame, shingle: int = 3, percent: int = 90, cell_ro
     of distinct word n-grams; component_id is the least doc_id reachable.  Equal
     sets link.  A null or wordless text has no n-gram and is alone.  A row with a
     null doc_id takes part in no link and has a null component_id.  Rows that
-    repeat a doc_id each get a row; they share a component.  Columns beyond
-    doc_id and text aren't read.  An empty table gives no rows.
+    repeat a doc_id each get a row, by their own text.  Columns beyond doc_id and
+    text aren't read.  An empty table gives no rows.
     """
-    docs = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    spark = docs.sparkSession
-    sets = written(docs.mapInArrow(_sets(shingle), SET), "sets")
-    firsts = written(sets.filter("n_shingles > 0 and doc_id is not null").groupBy("digest", "node").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("other")), "firsts")
-    met = docs.filter("doc_id is not null").mapInArrow(_meetings(shingle, percent, parts_of(spark)), SHAPE)
-    stars = decided(met, star, _stars, "a long, b long")
-    cells = components(stars)
-    members = written(firsts.select("digest", F.col("first").alias("doc_id"), "node").join(cells, "node").select("doc_id", "digest", F.col("component").alias("cell")), "members")
-    counts = members.groupBy("cell").agg(F.count("*").alias("n"), F.min("doc_id").alias("hub"))
-    sets_of = lambda rows: docs.join(sized(rows, 64), "doc_id").mapInArrow(_cell_sets(shingle), "doc_id long, cell long, names binary")
-    large = written(counts.filter(F.col("n") > cell_rows), "large")
-    shape = "a long, b long"
-    run = lambda df: df.repartition(partitions(spark), "cell").sortWithinPartitions("cell").mapInArrow(_by_tree(percent), shape)
-    if large.limit(1).count():
-        # only the large cells' sets are kept, as they are read several times
-        few = written(members.join(large.select("cell"), "cell", "left_anti"), "few")
-        links = run(sets_of(few).select("cell", "doc_id", F.lit(0).alias("side"), "names"))
-        many = written(members.join(large.select("cell"), "cell", "left_semi"), "many")
-        big = written(sets_of(many), "held").join(large, "cell")
-        hubs = big.filter("doc_id = hub").select("cell", F.col("names").alias("hub_names")).dropDuplicates(["cell"])
-        flags = written(big.select("doc_id", "cell", "names").join(hubs, "cell").mapInArrow(_hub_links(percent), "doc_id long, cell long, linked boolean"), "flags")
-        links = links.union(flags.filter("linked").join(large, "cell").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")))
-        blocks = flags.groupBy("cell").agg(F.sum(F.col("linked").cast("long")).alias("nl"), F.sum((~F.col("linked")).cast("long")).alias("nu"))
-        ceil = lambda c: F.ceil(F.col(c) / cell_rows).cast("int")
-        rows = big.select("doc_id", "cell", "names").join(flags.distinct(), ["doc_id", "cell"]).join(blocks, "cell").withColumn("bl", ceil("nl")).withColumn("bu", ceil("nu"))
-        rows = rows.withColumn("block", F.expr("cast(pmod(xxhash64(doc_id), case when linked then bl else bu end) as int)"))
-        # unlinked against unlinked, blocks i <= j; then unlinked against linked
-        uu = rows.filter("not linked").withColumn("j", F.explode(F.expr("sequence(0, bu - 1)"))).select(
-            F.expr("xxhash64(cell, 'u', least(block, j), greatest(block, j))").alias("cell"), "doc_id", F.expr("if(block > j, 1, 0)").alias("side"), "names")
-        ul = rows.filter("nu > 0 and nl > 0").withColumn("j", F.explode(F.expr("if(linked, sequence(0, bu - 1), sequence(0, bl - 1))"))).select(
-            F.expr("if(linked, xxhash64(cell, 'l', j, block), xxhash64(cell, 'l', block, j))").alias("cell"), "doc_id", F.expr("if(linked, 1, 0)").alias("side"), "names")
-        links = links.union(run(uu)).union(run(ul))
-    else:
-        links = run(sets_of(members).select("cell", "doc_id", F.lit(0).alias("side"), "names"))
-    groups = components(links)
-    tops = firsts.join(groups, firsts["first"] == groups.node, "left").select("digest", F.coalesce("component", "first").alias("component"), "first", "other")
-    tops = written(tops.filter("component <> first or first <> other"), "tops")
-    out = sets.join(sized(tops.select("digest", "component"), 48), "digest", "left")
+    sets, groups = linked_classes(_read(docs), shingle, percent, cell_rows)
+    out = sets.join(sized(groups.select("digest", "component"), 48), "digest", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def single_documents(docs: DataFrame, shingle: int = 5, percent: int = 80, cell_rows: int = CELL) -> DataFrame:
+    """docs without those linked with a document of a smaller doc_id; the columns of docs.
+
+    Of a group linked as in jaccard_groups() the document of the least doc_id
+    stays; if two texts have that doc_id, the one of the smaller digest of words.
+    Rows that repeat both doc_id and words are one document and stay or go
+    together, whatever their other columns hold.  Rows without a doc_id or without words stay.
+    """
+    sets, groups = linked_classes(_read(docs), shingle, percent, cell_rows)
+    lost = sets.filter("doc_id is not null and n_shingles > 0").select("doc_id", "digest").join(sized(groups, 64), "digest")
+    lost = written(lost.filter("doc_id <> component or digest <> leader").select(F.col("doc_id").alias("__lost"), F.col("digest").alias("__of")).distinct(), "lost")
+    dropped(sets)
+    dropped(groups)
+    key = unused(docs, "words")
+    keyed = docs.mapInArrow(_with_digest(docs.columns, key), T.StructType([*docs.schema.fields, T.StructField(key, T.BinaryType())]))
+    on = (keyed["doc_id"].cast("long") == lost["__lost"]) & (keyed[key] == lost["__of"])
+    return keyed.join(sized(lost, 48), on, "left_anti").select(*(keyed[c] for c in docs.columns))
+
+
+def _with_digest(names: list[str], key: str):
+    def run(batches):
+        for b in pieces(batches):
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(Words(b.column("text"), lower=True).digests(), pa.binary())], names=[*names, key])
+
+    return run

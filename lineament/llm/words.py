@@ -1,8 +1,11 @@
 """Words of whole Arrow columns as arrays: byte spans and 64-bit names.
 
 A batch's texts lie end to end in one UTF-8 buffer.  Word bounds come from a
-byte class table; a word's name is the difference of two prefix sums of a
-polynomial over its bytes, so no Python object is made for a word.
+byte class table.  A word's name takes its bytes eight at a time, each eight
+mixed into what came before, so no Python object is made for a word; only words
+of over LONG bytes are hashed one by one.  Names decide what may be equal.
+Where a result rests on equality across texts, digests of the bytes or the words
+themselves decide.
 """
 
 from __future__ import annotations
@@ -10,6 +13,7 @@ from __future__ import annotations
 import ctypes
 import sys
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +25,13 @@ STEP = 1 << 18
 #: What an Arrow batch to Python may hold.
 BATCH_BYTES = 1 << 20
 
+#: Bytes beyond which a span is named by a cryptographic hash.
+LONG = 256
+
 _u = np.uint64
-BASE, BASE2 = _u(0x9E3779B97F4A7C15 | 1), _u(0xD1342543DE82EF95 | 1)
+_LENGTH, _JOIN = _u(0x9E3779B97F4A7C15), _u(0xD1342543DE82EF95)
+#: What keeps the first n bytes of eight, read with the first byte lowest.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 SPACE = np.zeros(256, bool)
 SPACE[[32, *range(9, 14)]] = True
@@ -43,39 +52,43 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> _u(32))
 
 
-BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _u(0x9FB21C651E98DF25))
-
-
-class Powers:
-    """base**i and its inverse modulo 2**64, grown as needed."""
-
-    def __init__(self, base: np.uint64):
-        self.base, self.inverse = int(base), pow(int(base), -1, 1 << 64)
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def need(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            n = 1 << (n - 1).bit_length()
-            for name, b in (("up", self.base), ("down", self.inverse)):
-                x = np.full(n, b, np.uint64)
-                x[0] = 1
-                setattr(self, name, np.multiply.accumulate(x))
-        return self.up, self.down
-
-
-POWERS, POWERS2 = Powers(BASE), Powers(BASE2)
-
-
-class Prefix:
-    """Names of slices of a sequence of 64-bit values, from prefix sums."""
+def span_names(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit name for each span [start, end) of bytes."""
+    size = end - start
+    eights = np.ndarray((len(data) + 1,), "<u8", buffer=np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,)).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        name = mix(eights[start] & _FIRST[np.minimum(size, 8)]) + size.astype(np.uint64) * _LENGTH
+        on = np.flatnonzero((size > 8) & (size <= LONG))
+        at = 8
+        while len(on):
+            name[on] = mix(mix(name[on]) + (eights[start[on] + at] & _FIRST[np.minimum(size[on] - at, 8)]))
+            at += 8
+            on = on[size[on] > at]
+    body = memoryview(np.ascontiguousarray(data))
+    for i in np.flatnonzero(size > LONG).tolist():
+        name[i] = int.from_bytes(blake2b(body[int(start[i]) : int(end[i])], digest_size=8).digest(), "little")
+    return mix(name)
+
+
+def joined_names(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Names of two things side by side."""
+    with np.errstate(over="ignore"):
+        return mix(a + mix(b ^ _JOIN))
 
-    def __init__(self, values: np.ndarray, powers: Powers = POWERS):
-        up, self.down = powers.need(len(values) + 1)
-        self.sums = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum(values * up[: len(values)], out=self.sums[1:])
 
-    def name(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return (self.sums[end] - self.sums[start]) * self.down[start]
+def gram_names(names: np.ndarray, n: int) -> np.ndarray:
+    """The name of the n values from each place on at which n are left, joined from those of runs of 1, 2, 4, ... values."""
+    many = max(len(names) - n + 1, 0)
+    out, at, width, power = None, 0, 1, names
+    while True:
+        if n & width:
+            part = power[at : at + many]
+            out = part if out is None else joined_names(out, part)
+            at += width
+        if 2 * width > n:
+            return out
+        power = joined_names(power[:-width], power[width:]) if len(power) > width else power[:0]
+        width *= 2
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -96,6 +109,15 @@ def bounded(df: DataFrame) -> DataFrame:
     return df
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name made from name that df hasn't, in any case."""
+    taken = {c.lower() for c in df.columns}
+    name = "__" + name
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def trim() -> None:
     """Gives memory that a task has freed back to the system; its worker lives on for other tasks."""
     pa.default_memory_pool().release_unused()
@@ -137,10 +159,31 @@ class Words:
         self.count = np.diff(self.at)
         self.inside = inside
 
-    def names(self, powers: Powers = POWERS, salt: int = 0) -> np.ndarray:
+    def names(self) -> np.ndarray:
         """A 64-bit name for each word."""
-        table = BYTE if not salt else mix(BYTE + _u(salt))
-        return mix(Prefix(table[self.data], powers).name(self.start, self.end) + _u(salt))
+        return span_names(self.data, self.start, self.end)
+
+    def digests(self) -> list[bytes]:
+        """By row, 128 bits that stand for its words: a hash of their bytes and lengths."""
+        body = memoryview(np.ascontiguousarray(self.data[self.inside]))
+        off = np.concatenate([[0], np.cumsum(self.inside)])[self.off].tolist()
+        sizes = memoryview((self.end - self.start).astype("<u4"))
+        at, out = self.at.tolist(), []
+        for i in range(len(at) - 1):
+            h = blake2b(body[off[i] : off[i + 1]], digest_size=16)
+            h.update(sizes[at[i] : at[i + 1]])
+            out.append(h.digest())
+        return out
+
+    def spaced(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(bytes, starts, ends): all words, each followed by one space, and where each lies in the bytes."""
+        size = self.end - self.start
+        end = np.cumsum(size + 1) - 1
+        body = np.full(int(end[-1]) + 1 if len(end) else 0, 32, np.uint8)
+        place = np.ones(len(body), bool)
+        place[end] = False
+        body[place] = self.data[self.inside]
+        return body, end - size, end
 
     def rows(self) -> np.ndarray:
         """The row of each word."""
