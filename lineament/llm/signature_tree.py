@@ -16,7 +16,9 @@ steps of which none leaves out a linked pair:
   the OR of its children's bitmaps, their size range, and the largest number of
   tokens of one set that fell on a bit already taken.  Two trees, or one with
   itself, are walked together; a pair of nodes is left when its largest possible
-  overlap is too small for its sizes, or when all below it are linked already.
+  overlap is too small for its sizes, or when all below it are linked already,
+  or would be by pairs that the walk has given before.  Those pairs are compared;
+  where one of them turns out not to link, its cell is walked again without it.
 
 Only bitmaps and sizes are sent to cells.  Texts are sent for the pairs that the
 trees leave, and those pairs are compared word by word.
@@ -39,8 +41,10 @@ from lineament.operators.graph import components
 from lineament.plans.storage import dropped, partitions, sized, written
 
 SMALL, RATIO, CELL, LEAF, FAN = 32, 1.5, 8192, 32, 8
-#: Pairs of two linked groups that a first walk of a cell gives, and how many times more each later one does.
-FIRST, MORE = 8, 16
+#: Tokens up to which a set's bitmap has eight bits for each; larger ones have one and a half at least.
+FINE = 512
+#: How many times more pairs each walk of a cell gives for two groups before it takes them for linked; the first gives one.
+MORE = 8
 _u = np.uint64
 
 
@@ -118,8 +122,9 @@ def node(key: bytes) -> int:
 
 
 def signature(tokens: np.ndarray) -> bytes:
-    """A set's bitmap: one and a half to three bits for each token, 64 at least."""
-    bits = max(64, 1 << math.ceil(math.log2(1.5 * len(tokens) + 1)))
+    """A set's bitmap, of 64 bits at least and a power of two."""
+    n = len(tokens)
+    bits = max(64, 1 << math.ceil(math.log2(8 * n if n <= FINE else max(8 * FINE, 1.5 * n))))
     out = np.zeros(bits, bool)
     out[((tokens >> _u(20)) & _u(bits - 1)).astype(np.int64)] = True
     return np.packbits(out, bitorder="little").tobytes()
@@ -222,17 +227,45 @@ def grouped(members: list[tuple]) -> dict[int, list[tuple]]:
     return out
 
 
-def tree_pairs(left: list[tuple], right: list[tuple] | None, percent: int, limit: int) -> tuple[list[tuple[int, int]], bool]:
-    """Pairs of members of different labels that may link, inside left or between left and right.
+class Groups:
+    """Labels that count as one in a walk: union-find over their places in order."""
 
-    Of two labels' pairs `limit` at most are given, and whether there are more.
+    def __init__(self, labels: np.ndarray):
+        self.names = np.unique(labels)
+        self.up = np.arange(len(self.names))
+
+    def roots(self, labels) -> np.ndarray:
+        at = np.searchsorted(self.names, labels)
+        while True:
+            up = self.up[at]
+            if np.array_equal(up, at):
+                return at
+            at = up
+
+    def root(self, label: int) -> int:
+        at = int(np.searchsorted(self.names, label))
+        while self.up[at] != at:
+            self.up[at] = at = int(self.up[self.up[at]])
+        return at
+
+    def join(self, a: int, b: int) -> None:
+        self.up[max(a, b)] = min(a, b)
+
+
+def tree_pairs(left: list[tuple], right: list[tuple] | None, percent: int, limit: int = 1, refuted: frozenset | set = frozenset()) -> tuple[list[tuple[int, int]], bool]:
+    """Pairs of members of different labels that may link, inside left or between left and right, and whether any were passed over.
+
+    Groups of which `limit` pairs were given count as linked from then on, and
+    pairs within what counts as linked are passed over.  Pairs in refuted, in
+    either order, are neither given nor counted.
     """
     out: list[tuple[int, int]] = []
     given: dict[tuple[int, int], int] = {}
-    more = False
+    skipped = False
+    groups = Groups(np.array([m[1] for m in [*left, *(right or ())]], np.int64))
 
     def walk(a: Tree, b: Tree) -> None:
-        nonlocal more
+        nonlocal skipped
         stack = [(len(a.levels) - 1, 0, len(b.levels) - 1, 0)]
         while stack:
             la, na, lb, nb = stack.pop()
@@ -243,8 +276,8 @@ def tree_pairs(left: list[tuple], right: list[tuple] | None, percent: int, limit
             most = min(int(np.bitwise_count(ma & mb).sum()) + min(int(sla), int(slb)), int(hia), int(hib))
             if most < overlap_needed(int(loa), int(lob), percent):
                 continue
-            if fa == ta and fb == tb and given.get((min(fa, fb), max(fa, fb)), 0) >= limit:
-                more = True
+            if fa == ta and fb == tb and groups.root(int(fa)) == groups.root(int(fb)):
+                skipped = True
                 continue
             if la or lb:
                 down_a = a.children(la, na) if la and la >= lb else [(la, na)]
@@ -254,19 +287,26 @@ def tree_pairs(left: list[tuple], right: list[tuple] | None, percent: int, limit
             rows = max(1, (1 << 18) // ((eb - sb) * a.maps.shape[1]))
             for r in range(sa, ea, rows):
                 x, y = a.maps[r : min(r + rows, ea), None], b.maps[None, sb:eb]
-                size_a, size_b = a.size[r : r + x.shape[0], None], b.size[None, sb:eb]
+                e = r + x.shape[0]
+                size_a, size_b = a.size[r:e, None], b.size[None, sb:eb]
                 over = np.minimum(size_a - np.bitwise_count(x & ~y).sum(2, dtype=np.int64), size_b - np.bitwise_count(y & ~x).sum(2, dtype=np.int64))
-                able = (over >= overlap_needed(size_a, size_b, percent)) & (a.label[r : r + x.shape[0], None] != b.label[None, sb:eb])
+                able = (over >= overlap_needed(size_a, size_b, percent)) & (a.label[r:e, None] != b.label[None, sb:eb])
                 if a is b and na == nb:
-                    able &= np.arange(r, r + x.shape[0])[:, None] < np.arange(sb, eb)[None]
+                    able &= np.arange(r, e)[:, None] < np.arange(sb, eb)[None]
                 for i, j in np.argwhere(able).tolist():
                     p, q = r + i, sb + j
-                    key = (int(min(a.label[p], b.label[q])), int(max(a.label[p], b.label[q])))
-                    if (n := given.get(key, 0)) >= limit:
-                        more = True
+                    ra, rb = groups.root(int(a.label[p])), groups.root(int(b.label[q]))
+                    if ra == rb:
+                        skipped = True
+                        continue
+                    m, n = a.node[p], b.node[q]
+                    if (m, n) in refuted or (n, m) in refuted:
                         continue
-                    given[key] = n + 1
-                    out.append((a.node[p], b.node[q]))
+                    key = (min(ra, rb), max(ra, rb))
+                    given[key] = given.get(key, 0) + 1
+                    out.append((m, n))
+                    if given[key] >= limit:
+                        groups.join(*key)
 
     groups_a = grouped(left)
     groups_b = groups_a if right is None else grouped(right)
@@ -277,26 +317,35 @@ def tree_pairs(left: list[tuple], right: list[tuple] | None, percent: int, limit
             words = min(wa, wb)
             a = Tree(xs, words)
             walk(a, a if xs is ys else Tree(ys, words))
-    return out, more
+    return out, skipped
+
+
+WALKED = "c long, a long, b long"
 
 
 def _walked(percent: int, limit: int):
-    """Cells (c, i, j) of rows sorted by cell, one cell at a time; a row without ends says that there are more pairs."""
+    """Pairs (c, a, b) of cells (c, i, j) whose rows come one cell after another; (c, null, null) says that some were passed over.
+
+    Side 0 and 1 hold members; side 2 pairs that were refuted, as node and label.
+    """
 
-    def found(left, right):
-        pairs, more = tree_pairs(left, right or None, percent, limit) if len(left) + len(right) > 1 else ([], False)
-        return [*pairs, *([(None, None)] if more else [])]
+    def found(cell, left, right, refuted):
+        pairs, skipped = tree_pairs(left, right or None, percent, limit, refuted) if len(left) + len(right) > 1 else ([], False)
+        return [*((cell[0], a, b) for a, b in pairs), *([(cell[0], None, None)] if skipped else [])]
 
     def run(batches):
-        cell, left, right = None, [], []
-        for b in chain(batches, [None]):
+        cell, left, right, refuted = None, [], [], set()
+        for batch in chain(batches, [None]):
             out = []
-            for *c, side, node_, label, n, bitmap in zip(*(b.column(k).to_pylist() for k in ("c", "i", "j", "side", "node", "label", "n", "bitmap"))) if b else [(None,) * 8]:
+            for *c, side, node_, label, n, bitmap in zip(*(batch.column(k).to_pylist() for k in ("c", "i", "j", "side", "node", "label", "n", "bitmap"))) if batch else [(None,) * 8]:
                 if c != cell:
-                    out += found(left, right) if left else []
-                    cell, left, right = c, [], []
-                (right if side else left).append((node_, label, n, bitmap))
-            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int64()), pa.array([q for _, q in out], pa.int64())], names=["a", "b"])
+                    out += found(cell, left, right, refuted) if left else []
+                    cell, left, right, refuted = c, [], [], set()
+                if side == 2:
+                    refuted.add((node_, label))
+                else:
+                    (right if side else left).append((node_, label, n, bitmap))
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in ([r[k] for r in out] for k in range(3))], names=["c", "a", "b"])
         trim()
 
     return run
@@ -352,19 +401,28 @@ def _compared(docs: DataFrame, pairs: DataFrame, members: DataFrame, shingle: in
     return links
 
 
-def _cells(stars: DataFrame, members: DataFrame, labels: DataFrame, cell_rows: int) -> DataFrame:
-    """Rows (c, i, j, side, node, label, n, bitmap) of the leaders' cells that hold two labels.
+def _cells(stars: DataFrame, members: DataFrame, labels: DataFrame, cell_rows: int, only: DataFrame | None, refuted: DataFrame | None) -> DataFrame:
+    """Rows (c, i, j, side, node, label, n, bitmap) of the leaders' cells, or some only (c), that hold two labels.
 
     A cell of more than cell_rows is dealt into blocks by hash, and each two of
-    them meet as sides of a cell of their own.
+    them meet as sides of a cell of their own.  Pairs (c, a, b) that were refuted
+    go where their members meet.
     """
     rows = stars.select(F.col("a").alias("c"), F.col("b").alias("node"))
+    if only is not None:
+        rows = rows.join(sized(only, 16), "c", "left_semi")
     rows = rows.join(sized(labels, 32), "node", "left").select("c", "node", F.coalesce("component", "node").alias("label"))
     count = rows.groupBy("c").agg(F.count("*").alias("size"), F.min("label").alias("least"), F.max("label").alias("most")).filter("least < most")
-    count = written(count.select("c", F.ceil(F.col("size") / cell_rows).cast("int").alias("blocks")), "open")
-    rows = rows.join(sized(count, 32), "c").join(sized(members.select("node", F.col("n_shingles").alias("n"), "bitmap"), 600), "node")
-    rows = rows.withColumn("block", F.expr("cast(pmod(xxhash64(node), blocks) as int)")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    return rows.select("c", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), "node", "label", "n", "bitmap")
+    count = sized(written(count.select("c", F.ceil(F.col("size") / cell_rows).cast("int").alias("blocks")), "open"), 32)
+    block = lambda k: F.expr(f"cast(pmod(xxhash64({k}), blocks) as int)")
+    rows = rows.join(count, "c").join(sized(members.select("node", F.col("n_shingles").alias("n"), "bitmap"), 600), "node")
+    rows = rows.withColumn("block", block("node")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    rows = rows.select("c", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), "node", "label", "n", "bitmap")
+    if refuted is not None:
+        not_linked = refuted.join(count, "c").withColumn("x", block("a")).withColumn("y", block("b"))
+        ends = [F.col("a").alias("node"), F.col("b").alias("label"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("binary").alias("bitmap")]
+        rows = rows.union(not_linked.select("c", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), F.lit(2).alias("side"), *ends))
+    return rows
 
 
 def linked_classes(docs: DataFrame, shingle: int, percent: int, cell_rows: int = CELL) -> tuple[DataFrame, DataFrame]:
@@ -398,23 +456,32 @@ def linked_classes(docs: DataFrame, shingle: int, percent: int, cell_rows: int =
     links = [_compared(docs, pairs, members, shingle, percent)]
     dropped(pairs)
 
-    # what met the same leader, by trees, as long as two linked groups may have more pairs than a walk gave
-    limit, labels = FIRST, written(components(links[0]), "labels")
+    # what met the same leader, by trees; again in cells of which a pair was refuted and others were passed over
+    limit, only, refuted, labels = 1, None, None, written(components(links[0]), "labels")
     while True:
-        cells = _cells(stars, members, labels, cell_rows)
+        cells = _cells(stars, members, labels, cell_rows, only, refuted)
         cells = cells.repartition(partitions(spark), "c", "i", "j").sortWithinPartitions("c", "i", "j")
-        pairs = written(cells.mapInArrow(_walked(percent, limit), "a long, b long").distinct(), "pairs")
-        links.append(_compared(docs, pairs.filter("a is not null"), members, shingle, percent))
-        more = pairs.filter("a is null").limit(1).count()
-        dropped(pairs)
-        dropped(labels)
-        every = links[0]
-        for one in links[1:]:
-            every = every.union(one)
-        labels = written(components(every), "labels")
-        if not more:
+        walked = written(cells.mapInArrow(_walked(percent, limit), WALKED), "walked")
+        pairs = written(walked.filter("a is not null").select("a", "b").distinct(), "pairs")
+        new = _compared(docs, pairs, members, shingle, percent)
+        wrong = walked.filter("a is not null").join(sized(new, 16), ["a", "b"], "left_anti").select("c", "a", "b")
+        wrong = written(wrong if refuted is None else wrong.union(refuted), "refuted")
+        again = written(wrong.select("c").distinct().join(walked.filter("a is null").select("c").distinct(), "c", "left_semi"), "again")
+        for one in (pairs, walked, only, refuted):
+            if one is not None:
+                dropped(one)
+        if new.limit(1).count():
+            links.append(new)
+            every = links[0]
+            for one in links[1:]:
+                every = every.union(one)
+            dropped(labels)
+            labels = written(components(every), "labels")
+        limit, only, refuted = limit * MORE, again, wrong
+        if not again.limit(1).count():
             break
-        limit *= MORE
+    dropped(only)
+    dropped(refuted)
     for one in links:
         dropped(one)
     dropped(stars)
