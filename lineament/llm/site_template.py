@@ -1,31 +1,41 @@
 """Main text of web pages by removing what recurs on their host.
 
-Pages are parsed into elements.  What may be content is the outermost articles,
-or main elements, or all of a page that has neither, without the elements whose
-tag or class says that they are no content.  Every element subtree with text in
-it is named by a hash of its tags, attributes and text; Spark counts, by host,
-the distinct surroundings in which each name occurs, and names that recur in
-many are the host's template.  A second pass over the pages deletes template
-subtrees and gives the blocks of what is left.
+Pages are parsed into elements and every element subtree with text is named twice
+by hashes: by its content (tags, attributes, text), and, if it is no prose, by its
+frame (tags, classes and roles, whatever the text).  Spark counts, by host, the
+distinct surroundings in which each name occurs; names that recur in many are the
+host's template.  A second pass over the pages deletes template subtrees.
+
+* Content names say that the same box stands on many pages: notices, teasers,
+  forms, wherever they are, inside articles too.
+* Frame names say that a box of the same make does, its text changing from page
+  to page: menus, adverts, footers.  They are given outside of articles and main
+  elements only; where a page has neither, only to boxes that are mostly links.
+
+What one page of a host can't show by recurrence (reader comments, or a host of
+two pages) is left to the elements' tags and classes: of what the counts leave,
+the outermost articles, or main elements, or all of a page that has neither, are
+taken without elements that say that they are no content.
 
 Copies of an article on one host recur too.  A subtree's surroundings are
-therefore told apart by the longest text of the page outside of it: paragraphs of
-a copied or nearly copied page have the same one on each copy and count once.
+therefore told apart by the longest text of the page outside of it, that of
+elements that say that they are no content left aside: paragraphs of a copied or
+nearly copied page have the same one on each copy and count once.
 """
 
 from __future__ import annotations
 
 import re
-from hashlib import blake2b
 from html import unescape
-from itertools import accumulate
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from xxhash import xxh3_64_intdigest
 
+from lineament.llm.words import unused
 from lineament.plans.storage import sized, written
 
 LEAST_PAGES, SHARE = 3, 0.5
@@ -40,118 +50,232 @@ CLOSES_P = BLOCK - frozenset("td th tr tbody thead tfoot body html legend summar
 #: Elements that a start tag of the key closes when they are open, up to the nearest of the barrier.
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 BARRIER = frozenset("ul ol dl table div article section main body html menu aside nav header footer form blockquote select".split())
-# fixed values: what isn't content
-NOISE_TAGS = frozenset("head script style noscript template nav aside footer header form button select option input textarea iframe object embed svg canvas audio video menu dialog title".split())
+#: Elements whose text is no text of the page.
+UNSEEN = frozenset("head script style noscript template iframe object embed svg canvas audio video title textarea select option datalist".split())
+#: Elements that hold prose: their boxes are template by content alone.
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre table figure dl article main".split())
+#: What isn't content by its own word: tags, roles, and classes or ids, which may be joined with one another and with the neutral ones.
+NOISE_TAGS = UNSEEN | frozenset("nav aside footer header form button input menu dialog".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 NOISE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar side aside widget footer header masthead cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended comment comments respond reply replies disqus form search pagination pager toolbar hidden".split()
 )
-_token = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)", re.S)
+NEUTRAL_WORDS = frozenset("site page global top bottom left right main box block area section container wrapper wrap list bar link links item items button buttons icon icons inner outer content text title".split())
+#: A start tag as most are written; nothing in it is tried twice.
+_start = re.compile(r"""<([a-zA-Z][^\s/><]*+)((?:\s++[^\s=>"'/<]++(?:=(?:"[^"<>]*+"|'[^'<>]*+'|[^\s"'<>=`]++))?+)*+\s*+/?+)>""")
+_name = re.compile(r"[^\s/>]*+")
 _attribute = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
-_words = re.compile(r"[a-z0-9]+")
-_raw_end = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for t in RAW}
+_raw_end = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*+(?:>|\Z)", re.I) for t in RAW}
+
+
+def noisy(word: str) -> bool:
+    """Whether a class or id is one of NOISE_WORDS, or made of them and neutral ones alone."""
+    if word in NOISE_WORDS:
+        return True
+    parts = re.split("[-_]+", word)
+    return len(parts) > 1 and any(p in NOISE_WORDS for p in parts) and all(p in NOISE_WORDS or p in NEUTRAL_WORDS for p in parts)
 
 
 class Element:
-    __slots__ = ("tag", "attributes", "children", "parent")
+    __slots__ = ("tag", "attributes", "children", "parent", "depth")
 
     def __init__(self, tag: str, attributes: str, parent: "Element | None"):
         self.tag, self.attributes, self.parent, self.children = tag, attributes, parent, []
+        self.depth = parent.depth + 1 if parent else 0
+
+    def named(self) -> dict[str, str]:
+        """Attributes by name, the first of each, values in lower case."""
+        out: dict[str, str] = {}
+        for m in _attribute.finditer(self.attributes):
+            out.setdefault(m[1].lower(), (m[2] or m[3] or m[4] or "").lower())
+        return out
 
     def noise(self) -> bool:
         if self.tag in NOISE_TAGS:
             return True
         if not self.attributes:
             return False
-        for m in _attribute.finditer(self.attributes):
-            name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-            if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in NOISE_ROLES or name == "style" and "display:none" in value.replace(" ", ""):
-                return True
-            if name in ("class", "id") and self.tag not in ("html", "body", "article", "main") and any(w in NOISE_WORDS for w in _words.findall(value)):
-                return True
-        return False
+        own = self.named()
+        if "hidden" in own or own.get("aria-hidden") == "true" or own.get("role") in NOISE_ROLES or "display:none" in own.get("style", "").replace(" ", ""):
+            return True
+        return self.tag not in ("html", "body", "article", "main") and any(noisy(w) for w in (own.get("class", "") + " " + own.get("id", "")).split())
+
+    def frame(self) -> str:
+        """What the element is without its content: tag, classes, id and role."""
+        if not self.attributes:
+            return self.tag
+        own = self.named()
+        return " ".join([self.tag, *sorted(own.get("class", "").split()), "#" + own.get("id", ""), own.get("role", "")])
+
+
+def tag_end(html: str, at: int) -> int:
+    """The place behind the `>` that ends the tag whose attributes begin at `at`, -1 if none does; quotes count after `=` only."""
+    n = len(html)
+    while at < n:
+        c = html[at]
+        if c == ">":
+            return at + 1
+        at += 1
+        if c == "=":
+            while at < n and html[at].isspace():
+                at += 1
+            if at < n and html[at] in "\"'":
+                at = html.find(html[at], at + 1) + 1
+                if not at:
+                    return -1
+    return -1
 
 
 def parse(html: str) -> Element:
-    """A tree of elements and raw text; end tags that HTML implies are put in, stray ones left out."""
+    """A tree of elements and raw text; end tags that HTML implies are put in, stray ones left out.
+
+    Every character is looked at a bounded number of times.  A tag, comment or
+    declaration that the page's end cuts off is no text.
+    """
     root = node = Element("", "", None)
     at, n = 0, len(html)
+    #: The open elements of each tag, and the open barriers.
+    opened: dict[str, list[Element]] = {}
+    barriers: list[Element] = [root]
+
+    def close(tags: tuple[str, ...], to_barrier: bool = True) -> None:
+        """Closes the nearest open element of some tags and all in it, unless a barrier within it is open and counts."""
+        nonlocal node
+        e = None
+        for t in tags:
+            if (found := opened.get(t)) and (e is None or found[-1].depth > e.depth):
+                e = found[-1]
+        if e is None or to_barrier and barriers[-1].depth > e.depth:
+            return
+        while node is not e.parent:
+            opened[node.tag].pop()
+            if barriers[-1] is node:
+                barriers.pop()
+            node = node.parent
+
     while at < n:
-        m = _token.search(html, at)
-        if not m:
-            node.children.append(html[at:] if (lone := html.rfind("<", at)) < 0 or not re.match(r"</?[a-zA-Z]", html[lone:]) else html[at:lone])
+        start = html.find("<", at)
+        if start < 0:
+            node.children.append(html[at:])
             break
-        if m.start() > at:
-            node.children.append(html[at : m.start()])
-        at = m.end()
-        if not m[2]:
+        c = html[start + 1 : start + 2]
+        end_tag = c == "/" and html[start + 2 : start + 3].isascii() and html[start + 2 : start + 3].isalpha()
+        if c and c not in "/!?" and not (c.isascii() and c.isalpha()):
+            node.children.append(html[at : start + 1])
+            at = start + 1
             continue
-        tag = m[2].lower()
-        if m[1]:
-            up = node
-            while up is not root and up.tag != tag:
-                if tag not in BLOCK and up.tag in BARRIER:
-                    up = root
-                    break
-                up = up.parent
-            if up is not root:
-                node = up.parent
+        if start > at:
+            node.children.append(html[at:start])
+        if not c:
+            break
+        if c in "!?/" and not end_tag:
+            end = html.find("-->", start + 4) + 3 if html.startswith("<!--", start) else html.find(">", start) + 1
+            at = end if end > 2 else n
+            continue
+        if end_tag:
+            tag = _name.match(html, start + 2)[0].lower()
+            at = html.find(">", start) + 1 or n
+            close((tag,), tag not in BLOCK)
             continue
-        up = node
+        if m := _start.match(html, start):
+            tag, attributes, at = m[1].lower(), m[2], m.end()
+        else:
+            tag = _name.match(html, start + 1)[0]
+            begin = start + 1 + len(tag)
+            at = tag_end(html, begin)
+            if at < 0:
+                break
+            tag, attributes = tag.lower(), html[begin : at - 1]
         if tag in CLOSES_P:
-            while up is not root and up.tag != "p" and up.tag not in BARRIER:
-                up = up.parent
-            if up.tag == "p":
-                node = up.parent
+            close(("p",))
         elif tag in SIBLINGS:
-            while up is not root and up.tag not in SIBLINGS[tag] and up.tag not in BARRIER:
-                up = up.parent
-            if up.tag in SIBLINGS[tag]:
-                node = up.parent
-        new = Element(tag, m[3], node)
+            close(SIBLINGS[tag])
+        new = Element(tag, attributes, node)
         node.children.append(new)
         if tag in RAW:
             end = _raw_end[tag].search(html, at)
             new.children.append(html[at : end.start() if end else n])
             at = end.end() if end else n
-        elif tag not in VOID and not m[3].endswith("/"):
+        elif tag not in VOID and not attributes.endswith("/"):
             node = new
+            opened.setdefault(tag, []).append(new)
+            if tag in BARRIER:
+                barriers.append(new)
     return root
 
 
-def named_subtrees(root: Element) -> tuple[list[tuple[Element, int, str]], str]:
-    """Elements that may be content, their subtrees' names as signed 64-bit numbers, and the longest text outside of each; and the longest of all.
+def _hash(text: str) -> int:
+    """64 bits, signed."""
+    n = xxh3_64_intdigest(text.encode("utf-8", "replace"))
+    return n - (1 << 64) if n >> 63 else n
+
+
+def _longest(texts: list[str]) -> list[str]:
+    """The longest of the first 0, 1, 2, ... texts; of equals the greatest."""
+    out, top = [""], ""
+    for t in texts:
+        if len(t) > len(top) or len(t) == len(top) and t > top:
+            top = t
+        out.append(top)
+    return out
+
+
+def named_subtrees(root: Element) -> tuple[list[tuple[Element, tuple[int, ...], str]], str]:
+    """Elements with text, their subtrees' names as signed 64-bit numbers, and the longest text outside of each; and the longest of all.
 
-    Articles, main elements that stand for the page, and elements without text have no name.
+    The page as a whole, articles, and main elements that stand for the page have no name.
     """
     tops = outermost(root, "article") or outermost(root, "main")
-    order: list[tuple[Element, int]] = []  # with the number of texts before the element
+    order: list[tuple[Element, int, bool]] = []  # with the number of texts before the element, and whether it is in an article or prose
     texts: list[str] = []
     ends: dict[int, int] = {}
-    stack: list = [*reversed(tops or [root])]
+    unnamed = {id(e) for e in tops}
+    stack: list = [(root, False, False)]
     while stack:
-        e = stack.pop()
+        e, inside, quiet = stack.pop()
         if isinstance(e, str):
             if t := " ".join(e.split()):
-                texts.append(t)
-        elif isinstance(e, tuple):
-            ends[id(e[0])] = len(texts)
-        elif not e.noise():
-            order.append((e, len(texts)))
-            stack.append((e,))
-            stack.extend(reversed(e.children))
-    rank = lambda t: (len(t), t)
-    before = [*accumulate(texts, lambda x, y: max(x, y, key=rank), initial="")]
-    after = [*accumulate(reversed(texts), lambda x, y: max(x, y, key=rank), initial="")][::-1]
-    unnamed = {id(e) for e in tops}
-    out, names = [], {}
-    for e, start in reversed(order):  # children before parents
-        if id(e) in unnamed or e.tag in ("", "html", "body"):
-            continue
-        parts = [names.get(id(c), b"") if not isinstance(c, str) else c.strip().encode("utf-8", "replace") for c in e.children]
-        names[id(e)] = name = blake2b(f"<{e.tag}{e.attributes}>".encode("utf-8", "replace") + b"\0".join(x for x in parts if x), digest_size=8).digest()
-        if ends[id(e)] > start:
-            out.append((e, int.from_bytes(name, "little", signed=True), max(before[start], after[ends[id(e)]], key=rank)))
+                texts.append("" if quiet else t)
+        elif inside is None:
+            ends[id(e)] = len(texts)
+        elif e.tag not in UNSEEN:
+            order.append((e, len(texts), inside))
+            stack.append((e, None, None))
+            inside = inside or e.tag in PROSE
+            quiet = quiet or e.noise()
+            stack.extend((c, inside, quiet) for c in reversed(e.children))
+    before, after = _longest(texts), _longest(texts[::-1])[::-1]  # of the texts before each place, and from it on
+
+    out = []
+    content: dict[int, int] = {}
+    frames: dict[int, str | None] = {}  # of elements that aren't within prose; None: prose, or holding some
+    size: dict[int, tuple[int, int]] = {}  # characters of text, and of those in links
+    for e, start, inside in reversed(order):  # children before parents
+        parts = [e.tag, e.attributes]
+        for c in e.children:
+            if isinstance(c, str):
+                if t := c.strip():
+                    parts.append(t)
+            elif id(c) in content:
+                parts.append(f"\0{content[id(c)]:x}")
+        content[id(e)] = name = _hash("\1".join(parts))
+        names = (name,)
+        frame = None
+        if not inside:
+            seen = [c for c in e.children if isinstance(c, str) or id(c) in content]
+            own = [frames[id(c)] for c in seen if not isinstance(c, str)] if e.tag not in PROSE else ()
+            if e.tag not in PROSE and None not in own:
+                frame = f"{e.frame()}({','.join(sorted(set(own)))})"
+                if len(frame) > 512:
+                    frame = f"{_hash(frame):x}"
+                chars = sum(len(c.strip()) if isinstance(c, str) else size[id(c)][0] for c in seen)
+                size[id(e)] = chars, chars if e.tag == "a" else sum(size[id(c)][1] for c in seen if not isinstance(c, str))
+            frames[id(e)] = frame
+        if (end := ends[id(e)]) > start and id(e) not in unnamed and e.tag not in ("", "html", "body"):
+            if frame is not None and e.tag in BLOCK and (tops or 2 * size[id(e)][1] > size[id(e)][0]):
+                names = (name, _hash("\2" + frame))
+            x, y = before[start], after[end]
+            out.append((e, names, x if (len(x), x) > (len(y), y) else y))
     return out, before[-1]
 
 
@@ -163,14 +287,14 @@ def outermost(root: Element, tag: str) -> list[Element]:
         if e.tag == tag:
             out.append(e)
         else:
-            stack += [c for c in reversed(e.children) if not isinstance(c, str) and c.tag not in NOISE_TAGS]
+            stack += [c for c in reversed(e.children) if not isinstance(c, str) and c.tag not in NOISE_TAGS]  # one in a menu or footer is no article
     return out
 
 
-def blocks(root: Element, template: set[int]) -> list[str]:
-    """The blocks of what isn't template or noise, white space made one space."""
-    gone = {id(e) for e, name, _ in named_subtrees(root)[0] if name in template} if template else ()
-    tops = outermost(root, "article") or outermost(root, "main")
+def blocks(root: Element, template: set[int], by_tags: bool = True) -> list[str]:
+    """The blocks of what isn't template or, with by_tags, noise; white space made one space."""
+    gone = {id(e) for e, names, _ in named_subtrees(root)[0] if not template.isdisjoint(names)} if template else ()
+    tops = (outermost(root, "article") or outermost(root, "main")) if by_tags else []
     out: list[str] = []
     line: list[str] = []
 
@@ -188,7 +312,7 @@ def blocks(root: Element, template: set[int]) -> list[str]:
             close()
         elif isinstance(c, str):
             line.append(c)
-        elif id(c) in gone or c.noise():
+        elif id(c) in gone or (c.noise() if by_tags else c.tag in UNSEEN):
             continue
         elif c.tag == "br":
             line.append(" ")
@@ -221,15 +345,14 @@ def _pieces(batches, column: str):
 
 def _named(html: str, url: str):
     """(host, name, rest) for each name of a page, and without a name for the page as a whole."""
-    short = lambda t: int.from_bytes(blake2b(t.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
     def run(batches):
         for b in _pieces(batches, html):
             hosts, names, rests = [], [], []
             for h, u in zip(b.column(html).to_pylist(), b.column(url).to_pylist()):
                 found, longest = named_subtrees(parse(h or ""))
-                hashed = {t: short(t) for t in {longest, *(t for _, _, t in found)}}
-                rows = {(None, hashed[longest]), *((name, hashed[t]) for _, name, t in found)}
+                hashed = {t: _hash(t) for t in {longest, *(t for _, _, t in found)}}
+                rows = {(None, hashed[longest]), *((name, hashed[t]) for _, own, t in found for name in own)}
                 hosts += [_host(u)] * len(rows)
                 names += [name for name, _ in rows]
                 rests += [rest for _, rest in rows]
@@ -238,10 +361,10 @@ def _named(html: str, url: str):
     return run
 
 
-def _extracted(html: str, names: list[str]):
+def _extracted(html: str, names: list[str], template: str, by_tags: bool):
     def run(batches):
         for b in _pieces(batches, html):
-            texts = ["\n".join(blocks(parse(h or ""), set(t or ()))) for h, t in zip(b.column(html).to_pylist(), b.column("__template").to_pylist())]
+            texts = ["\n".join(blocks(parse(h or ""), set(t or ()), by_tags)) for h, t in zip(b.column(html).to_pylist(), b.column(template).to_pylist())]
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*names, "__text", "__n_chars"])
 
     return run
@@ -267,19 +390,24 @@ def templates(pages: DataFrame, html: str = "html", url: str = "url", least_page
     return many.groupBy("host").agg(F.collect_list("name").alias("names"))
 
 
-def main_text(pages: DataFrame, html: str = "html", url: str = "url", least_pages: int = LEAST_PAGES, share: float = SHARE) -> DataFrame:
+def main_text(pages: DataFrame, html: str = "html", url: str = "url", least_pages: int = LEAST_PAGES, share: float = SHARE, by_tags: bool = True) -> DataFrame:
     """pages without the html, with __text and __n_chars (code points).
 
     Blocks are joined by one line feed in page order, white space inside a block
     is one space, character references are decoded.  A null or empty html, or
     one without content, gives an empty text.  Pages without a host are a host of
-    their own; rows that repeat are pages each.  Deep nesting, unclosed and stray
-    tags and cut-off pages are read as HTML reads them, as far as blocks go.
+    their own; rows that repeat are pages each; a host of fewer than least_pages
+    distinct pages has no template.  Deep nesting, unclosed and stray tags and
+    cut-off pages are read as HTML reads them, as far as blocks go.  Without
+    by_tags host counts alone decide.  A column of pages that is named like one
+    of the two results is replaced by it.  An empty table gives no rows.
     """
-    names = [n for n in pages.columns if n != html]
+    names = [n for n in pages.columns if n != html and n.lower() not in ("__text", "__n_chars")]
+    pages = pages.select(*names, html)
     found = written(templates(pages, html, url, least_pages, share), "templates")
     size = found.select(F.coalesce(F.sum(F.size("names")), F.lit(0)).alias("n"), F.count("*").alias("hosts")).first()
-    side = found.select(F.col("host").alias("__host"), F.col("names").alias("__template"))
-    rows = pages.join(sized(side, 8, size["n"] + 8 * size["hosts"]), host_of(F.col(url)).eqNullSafe(F.col("__host")), "left")
-    shape = T.StructType([f for f in pages.schema if f.name != html]).add("__text", "string").add("__n_chars", "long")
-    return rows.select(*names, html, "__template").mapInArrow(_extracted(html, names), shape)
+    key, template = unused(pages, "host"), unused(pages, "template")
+    side = sized(found.select(F.col("host").alias(key), F.col("names").alias(template)), 8, size["n"] + 8 * size["hosts"])
+    rows = pages.join(side, host_of(F.col(url)).eqNullSafe(F.col(key)), "left")
+    shape = T.StructType([*(pages.schema[n] for n in names), T.StructField("__text", T.StringType()), T.StructField("__n_chars", T.LongType())])
+    return rows.select(*names, html, template).mapInArrow(_extracted(html, names, template, by_tags), shape)

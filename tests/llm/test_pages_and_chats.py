@@ -65,6 +65,58 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 <div class="ad">Buy</div><article><header><p>by line</p></header><h1>Head  &amp; tail</h1><p>One<br>two <b>bold</b>&#33;<p>Three<ul><li>i<li>j</ul><form>ask</form><aside>see</aside><div class="comments"><p>reader</p></div><p>cut &am</article><footer>&copy; x</footer>"""
 
 
+def test_counts_decide_on_stored_pages():
+    """Host counts alone, with tags and classes left aside, take every menu, advert and footer of the stored pages."""
+    import pyarrow.parquet as pq
+
+    rows = pq.read_table("/root/testdata/sf0.1/pages.parquet", columns=["url", "html"]).slice(0, 800).to_pylist()
+    trees, around = [site_template.parse(r["html"] or "") for r in rows], {}
+    for r, tree in zip(rows, trees):
+        found, longest = site_template.named_subtrees(tree)
+        host = site_template._host(r["url"])
+        for name, rest in {(None, longest), *((n, rest) for _, names, rest in found for n in names)}:
+            around.setdefault((host, name), set()).add(rest)
+    changed = 0
+    for r, tree in zip(rows, trees):
+        host = site_template._host(r["url"])
+        pages = len(around[host, None])
+        template = {n for (h, n), x in around.items() if h == host and n is not None and len(x) >= 3 and 2 * len(x) > pages} if changed < 60 and pages >= 6 else None
+        if template is None:
+            continue
+        plain, cut = site_template.blocks(tree, set(), by_tags=False), site_template.blocks(tree, template, by_tags=False)
+        assert cut == site_template.blocks(tree, template) and plain != cut
+        changed += 1
+    assert changed == 60
+
+
+def test_deletion_decides(spark):
+    """Menus and adverts without telling tags go by their frame, a notice within articles by its content."""
+    page = lambda k: f"<div class=q1><ul><li><a href=/{k}>go {k}</a><li><a href=/b>tip {k}</a></ul></div><div class=q2>Buy {k} now</div><article><h1>T{k}</h1><p>{' '.join(f'w{k}x{j}' for j in range(30))}</p><div>Read our rules</div></article>"
+    rows = [(k, f"http://h/{k}", page(k)) for k in range(9)] + [(20, "http://other/1", page(20))]
+    want = {k: f"T{k}\n" + " ".join(f"w{k}x{j}" for j in range(30)) for k in range(9)}
+    for by_tags in (True, False):
+        out = {r.page_id: r["__text"] for r in site_template.main_text(pages(spark, rows), by_tags=by_tags).collect()}
+        assert {k: out[k] for k in want} == want
+        assert out[20].endswith("Read our rules") and ("Buy 20 now" in out[20]) != by_tags
+
+
+@pytest.mark.parametrize("bad", ['<a href="x', "<a ", "<!", "<![", "</", "<p title='", "<b><div><i></b>", "<p><table><span><hr>", "<title>", "<!--"])
+def test_hostile_pages_take_linear_time(bad):
+    import time
+
+    began = time.thread_time()
+    site_template.parse(bad * (2_000_000 // len(bad)))
+    assert time.thread_time() - began < 6
+
+
+def test_odd_markup():
+    blocks = lambda html: site_template.blocks(site_template.parse(html), set())
+    assert blocks('<p title="a"">Hello world</p>') == ["Hello world"]
+    assert blocks('<article><p class="side-effects">x</p><p class="ad-hoc">y</p><div class="cookie-banner">z</div><div class="comment-list">c</div></article>') == ["x", "y"]
+    assert blocks("a < b <3 </> </ x> c <!-- q --> d <! e> f <") == ["a < b <3 c d f"]
+    assert blocks("<p>one <span>two</b> three<hr>four<p>five<td>six") == ["one two three", "four", "five", "six"]
+
+
 def test_blocks():
     assert site_template.blocks(site_template.parse(PAGE), set()) == ["Head & tail", "One two bold!", "Three", "i", "j", "cut &am"]
     assert site_template.blocks(site_template.parse(""), set()) == []
