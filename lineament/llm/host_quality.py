@@ -4,8 +4,14 @@ Counts come from whole texts in one pass.  A row fails its base rules, or soft
 ones (too many symbols, repeated lines, odd word lengths).  Failures are
 aggregated by host; a host's rate is shrunk towards that of all hosts with a
 beta prior fitted to the hosts' rates by moments, so that a host of few rows
-isn't judged by them alone.  Verdicts are joined back: all rows of a rejected
-host go, and on a suspect host those that fail a soft rule.
+isn't judged by them alone.  A host is judged by what its posterior makes
+credible, two standard deviations off its mean, against the rate of all rows:
+
+* rejected, if its rate is over half way from the common rate to one: none of its rows stays;
+* trusted, if its rate is under half the common one: rows that fail soft rules alone stay;
+* ordinary otherwise: those go.
+
+Verdicts are joined back to the rows.
 """
 
 from __future__ import annotations
@@ -22,8 +28,10 @@ from lineament.plans.storage import sized, written
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
 # fixed values: the symbols counted
 SYMBOLS = b"#*$%&|<>"
-#: Shrunk failure rates at which a host is rejected, and suspect.
-REJECT, SUSPECT = 0.9, 0.05
+#: Where a host is rejected, as a share of the way from the common rate to one, and trusted, as a share of the common rate.
+REJECT, TRUST = 0.5, 0.5
+#: Standard deviations of a host's posterior that a verdict leaves room for.
+DEVIATIONS = 2.0
 _symbol = np.zeros(256, bool)
 _symbol[[*SYMBOLS]] = True
 _u = np.uint64
@@ -110,8 +118,8 @@ def judged(docs: DataFrame, text: str = "text", least_words: int = 50) -> DataFr
     return bounded(docs).mapInArrow(_counted(docs.columns, text), shape).withColumn("__base_failed", base).withColumn("__soft_failed", soft)
 
 
-def host_rates(rows: DataFrame, host: str = "source") -> DataFrame:
-    """(__host, __host_rate) from judged() rows: shrunk shares of rows that fail any rule.
+def host_rates(rows: DataFrame, host: str = "source", reject: float = REJECT, trust: float = TRUST, deviations: float = DEVIATIONS) -> DataFrame:
+    """(__host, __host_rate, __host_verdict) from judged() rows: shrunk shares of rows that fail any rule, and what follows.
 
     Sums are combined before the shuffle, so a host of very many rows costs no
     more than another.  Rows with a null host are a host of their own; a row
@@ -120,23 +128,46 @@ def host_rates(rows: DataFrame, host: str = "source") -> DataFrame:
     failed = (F.col("__base_failed") | F.col("__soft_failed")).cast("long")
     hosts = written(rows.groupBy(F.col(host).alias("__host")).agg(F.count("*").alias("n"), F.sum(failed).alias("failed")), "hosts")
     alpha, beta = beta_prior(hosts)
-    return hosts.select("__host", ((F.col("failed") + alpha) / (F.col("n") + alpha + beta)).alias("__host_rate"))
+    common, weight = alpha / (alpha + beta), F.col("n") + alpha + beta
+    out = hosts.withColumn("__host_rate", (F.col("failed") + alpha) / weight)
+    out = out.withColumn("spread", deviations * F.sqrt(F.col("__host_rate") * (1 - F.col("__host_rate")) / (weight + 1)))
+    bad = F.col("__host_rate") - F.col("spread") > common + reject * (1 - common)
+    good = F.col("__host_rate") + F.col("spread") < trust * common
+    return out.select("__host", "__host_rate", F.when(bad, "rejected").when(good, "trusted").otherwise("ordinary").alias("__host_verdict"))
+
+
+def verdicts(rows: DataFrame, rates: DataFrame, host: str = "source") -> DataFrame:
+    """judged() rows with __host_rate, __host_verdict and __kept."""
+    out = rows.join(sized(rates, 120), rows[host].eqNullSafe(rates["__host"]), "left").drop("__host")
+    bad = F.col("__base_failed") | (F.col("__host_verdict") == "rejected") | (F.col("__soft_failed") & (F.col("__host_verdict") != "trusted"))
+    return out.withColumn("__kept", ~bad)
 
 
-def verdicts(rows: DataFrame, rates: DataFrame, host: str = "source", reject: float = REJECT, suspect: float = SUSPECT) -> DataFrame:
-    """judged() rows with __host_rate and __kept."""
-    out = rows.join(sized(rates, 100), rows[host].eqNullSafe(rates["__host"]), "left").drop("__host")
-    bad = F.col("__base_failed") | (F.col("__host_rate") >= reject) | (F.col("__soft_failed") & (F.col("__host_rate") >= suspect))
-    return out.withColumn("__kept", ~bad)
+#: Columns that the operator adds; those of the input that are named so are replaced.
+ADDED = ["__" + c for c in COUNTS] + ["__base_failed", "__soft_failed", "__host", "__host_rate", "__host_verdict", "__kept"]
+
 
+def _plain(docs: DataFrame) -> DataFrame:
+    return docs.select(*(docs[c] for c in docs.columns if c.lower() not in ADDED))
 
-def quality(docs: DataFrame, host: str = "source", text: str = "text", least_words: int = 50, reject: float = REJECT, suspect: float = SUSPECT) -> DataFrame:
-    """docs without the text, with judged()'s columns, __host_rate and __kept; one pass over the texts."""
-    rows = written(judged(docs, text, least_words).drop(text), "judged")
-    return verdicts(rows, host_rates(rows, host), host, reject, suspect)
 
+def quality(docs: DataFrame, host: str = "source", text: str = "text", least_words: int = 50, reject: float = REJECT, trust: float = TRUST) -> DataFrame:
+    """docs without the text, with judged()'s columns, __host_rate, __host_verdict and __kept; one pass over the texts.
 
-def accepted(docs: DataFrame, host: str = "source", text: str = "text", least_words: int = 50, reject: float = REJECT, suspect: float = SUSPECT) -> DataFrame:
-    """The rows of docs that are kept; two passes over the texts, of which only hosts' sums are shuffled."""
-    rates = host_rates(judged(docs.select(host, text), text, least_words), host)
-    return verdicts(judged(docs, text, least_words), rates, host, reject, suspect).filter("__kept").select(*docs.columns)
+    A null text has no words and fails its base rules; a null host is a host of
+    its own; rows that repeat are judged and counted each; an empty table gives
+    no rows.  Columns named like ADDED are replaced.
+    """
+    rows = written(judged(_plain(docs), text, least_words).drop(text), "judged")
+    return verdicts(rows, host_rates(rows, host, reject, trust), host)
+
+
+def accepted(docs: DataFrame, host: str = "source", text: str = "text", least_words: int = 50, reject: float = REJECT, trust: float = TRUST) -> DataFrame:
+    """The rows of docs that are kept, as quality() says; two passes over the texts, of which only hosts' sums are shuffled.
+
+    The columns are those of docs; names that quality() replaces are refused.
+    """
+    if taken := [c for c in docs.columns if c.lower() in ADDED]:
+        raise ValueError(f"columns {taken} are named like those of the operator")
+    rates = host_rates(judged(docs.select(host, text), text, least_words), host, reject, trust)
+    return verdicts(judged(docs, text, least_words), rates, host).filter("__kept").select(*docs.columns)

@@ -19,10 +19,11 @@ h AS (SELECT source, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (WHERE
 t AS (SELECT sum(n) AS rows_, sum(failed) AS fails, count(*) AS hosts, sum(failed * failed / n) AS squares FROM h),
 m AS (SELECT *, fails / rows_ AS mean, squares / rows_ - (fails / rows_) * (fails / rows_) - (fails / rows_) * (1 - fails / rows_) * hosts / rows_ AS between_ FROM t),
 p AS (SELECT mean, CASE WHEN between_ > 0 AND mean > 0 AND mean < 1 THEN greatest(mean * (1 - mean) / between_ - 1, 1.0) ELSE rows_ / hosts END AS weight FROM m),
-rate AS (SELECT source, (failed + mean * weight) / (n + weight) AS rate FROM h, p)
+rate AS (SELECT source, mean, n + weight AS w, (failed + mean * weight) / (n + weight) AS r FROM h, p),
+v AS (SELECT source, CASE WHEN r - 2 * sqrt(r * (1 - r) / (w + 1)) > mean + 0.5 * (1 - mean) THEN 'rejected' WHEN r + 2 * sqrt(r * (1 - r) / (w + 1)) < 0.5 * mean THEN 'trusted' ELSE 'ordinary' END AS verdict FROM rate)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
-  CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT (base_failed OR rate >= 0.9 OR (soft_failed AND rate >= 0.05)) AS kept
-FROM j JOIN rate ON j.source IS NOT DISTINCT FROM rate.source
+  CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT (base_failed OR verdict = 'rejected' OR (soft_failed AND verdict <> 'trusted')) AS kept
+FROM j JOIN v ON j.source IS NOT DISTINCT FROM v.source
 """
 
 OP8 = """
