@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -50,9 +51,7 @@ def split(text):
     return (text or "").encode().split()
 
 
-@pytest.mark.parametrize("k,percent,cell", [(3, 90, 4096), (5, 80, 4096), (5, 80, 3), (2, 50, 4096)])
-def test_jaccard_groups(spark, k, percent, cell):
-    docs = corpus(1)
+def brute_groups(docs, k, percent):
     sets = {}
     for i, t in docs:
         w = (t or "").encode().lower().split()
@@ -71,8 +70,62 @@ def test_jaccard_groups(spark, k, percent, cell):
                 if 100 * n >= percent * len(sets[i] | sets[j]):
                     a, b = find(i), find(j)
                     up[max(a, b)] = min(a, b)
+    return sorted((i, len(sets[i]), find(i)) for i, _ in docs)
+
+
+@pytest.mark.parametrize("k,percent,cell", [(3, 90, 4096), (5, 80, 3), (2, 50, 4096)])
+def test_jaccard_groups(spark, k, percent, cell):
+    docs = corpus(1)
     rows = signature_tree.jaccard_groups(frame(spark, docs), k, percent, cell).collect()
-    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in rows) == sorted((i, len(sets[i]), find(i)) for i, _ in docs)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in rows) == brute_groups(docs, k, percent)
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_jaccard_hot_group(spark, percent):
+    """Near copies of one text and unrelated texts with one long passage, in cells far beyond the block size."""
+    rng = random.Random(9)
+    passage = [f"p{k}" for k in range(60)]
+    base = [f"b{k}" for k in range(100)]
+    docs = []
+    for i in range(90):
+        w = [*base]
+        for _ in range(rng.randrange(6)):
+            w[rng.randrange(100)] = f"e{rng.randrange(1000)}"
+        docs.append((i, " ".join(w)))
+    docs += [(200 + i, " ".join([*passage, *(f"u{i}x{k}" for k in range(rng.randrange(10, 40)))])) for i in range(90)]
+    want = brute_groups(docs, 3, percent)
+    rows = signature_tree.jaccard_groups(frame(spark, docs), 3, percent, 8).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in rows) == want
+    assert 2 < len({c for _, _, c in want}) < 180
+
+
+def test_walks_go_on_until_all_pairs_are_settled():
+    """A walk gives a spanning set; refuted pairs are left out of the next one, which gives others of the same groups."""
+    sets = [np.arange(100, dtype=np.uint64) * np.uint64(1 << 21) + np.uint64((i % 2) << 40) for i in range(40)]
+    members = [(i, i % 2, 100, signature_tree.signature(s)) for i, s in enumerate(sets)]
+    pairs, skipped = signature_tree.tree_pairs(members, None, 80)
+    assert len(pairs) == 1 and skipped
+    refuted, rounds, limit = set(pairs), 1, 1
+    while skipped:
+        limit *= signature_tree.MORE
+        pairs, skipped = signature_tree.tree_pairs(members, None, 80, limit, refuted)
+        assert refuted.isdisjoint(pairs)
+        refuted |= set(pairs)
+        rounds += 1
+    assert {tuple(sorted(p)) for p in refuted} == {(a, b) for a in range(40) for b in range(a + 1, 40) if (a - b) % 2} and rounds < 6
+    assert signature_tree.tree_pairs(members[:20], members[20:], 80)[0] and not signature_tree.tree_pairs([m for m in members if m[1]], None, 80)[0]
+    alone = [(i, i, n, x) for i, _, n, x in members]
+    assert len(signature_tree.tree_pairs(alone, None, 80)[0]) == 39
+
+
+def test_single_documents(spark):
+    words = lambda k, n=80: " ".join(f"w{k}x{j}" for j in range(n))
+    near = words(1).replace("w1x40", "other")
+    rows = [(5, words(1), "a"), (3, near, "b"), (3, words(2), "c"), (3, words(2), "d"), (9, words(2).upper(), "e"), (None, words(1), "f"), (7, None, "g"), (8, "", "h"), (10, "", "i")]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, tag string, __words int")
+    out = signature_tree.single_documents(docs)
+    assert out.columns == docs.columns and {r.tag for r in out.collect()} == {"b", "c", "d", "f", "g", "h", "i"}
+    assert signature_tree.single_documents(docs.limit(0)).count() == 0
 
 
 def test_jaccard_edges(spark):
@@ -177,16 +230,34 @@ def test_quality_counts(spark):
 
 
 def test_host_verdicts(spark):
+    """Hosts that differ: one that fails, one that hardly does, a small one, and ordinary ones."""
     good = " ".join(f"w{k}" for k in range(60))
     junk = " ".join(f"w{k}###" for k in range(60))
-    docs = frame(spark, [(k, good + str(k)) for k in range(30)], "fine").union(frame(spark, [(100 + k, "short") for k in range(300)] + [(99, good)], "bad")).union(frame(spark, [(700, junk), *((800 + k, good) for k in range(9))], "mixed"))
-    docs = docs.union(frame(spark, [(900, good)], None))
+    rows = [(k, good if k % 5 else "short", f"plain{k % 3}") for k in range(900)]
+    rows += [(1000 + k, "short", "bad") for k in range(300)] + [(1300, good, "bad")]
+    rows += [(2000 + k, good, "fine") for k in range(400)] + [(2500, junk, "fine")]
+    rows += [(3000, junk, "plain0"), (3001, junk, "small"), (3002, good, "small"), (3003, good, None), (3004, None, "fine")]
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, source string, n_words string, __kept int")
     out = host_quality.quality(docs).collect()
+    verdict = {r.source: r["__host_verdict"] for r in out}
+    assert verdict == {"plain0": "ordinary", "plain1": "ordinary", "plain2": "ordinary", "bad": "rejected", "fine": "trusted", "small": "ordinary", None: "ordinary"}
     kept = {r.doc_id for r in out if r["__kept"]}
-    assert set(range(30)) <= kept and 99 not in kept and 700 not in kept and set(range(800, 809)) <= kept and 900 in kept
-    accepted = host_quality.accepted(docs)
-    assert accepted.columns == docs.columns and {r.doc_id for r in accepted.collect()} == kept
-    assert host_quality.accepted(docs.limit(0)).count() == 0
+    assert kept == {i for i, t, h in rows if h != "bad" and (t == good or t == junk and h == "fine")}
+    accepted = host_quality.accepted(docs.drop("__kept"))
+    assert accepted.columns == ["doc_id", "text", "source", "n_words"] and {r.doc_id for r in accepted.collect()} == kept
+    assert host_quality.accepted(docs.drop("__kept").limit(0)).count() == host_quality.quality(docs.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        host_quality.accepted(docs)
+
+
+def test_beta_prior_by_hand(spark):
+    hosts = [(10, 1), (20, 10), (5, 0)]
+    n, fails = sum(a for a, _ in hosts), sum(b for _, b in hosts)
+    mean = fails / n
+    between = sum(b * b / a for a, b in hosts) / n - mean**2 - mean * (1 - mean) * len(hosts) / n
+    weight = max(mean * (1 - mean) / between - 1, 1.0)
+    got = host_quality.beta_prior(spark.createDataFrame(hosts, "n long, failed long"))
+    assert got == pytest.approx((mean * weight, (1 - mean) * weight))
 
 
 def test_site_lines(spark):
@@ -213,13 +284,68 @@ def test_trie_counts(words):
             top.append(max(able))
         return -top[-1][1]
 
-    assert token_trie.trie_counts(words, model) == {w: best(w) for w in set(words)}
+    trie = token_trie.Trie(model)
+    assert {w: trie.count(w) for w in words} == {w: best(w) for w in words}
 
 
 def test_token_counts(spark):
-    docs = [(1, "The cat sat"), (2, None), (3, ""), (4, "The The\ncat"), (5, "中\U0001f600")]
-    rows = {r.doc_id: (r["__n_pretokens"], r["__n_tokens"]) for r in token_trie.token_counts(frame(spark, docs), tokenizer_file("piece_bpe_32k.model")).collect()}
-    assert rows[2] == rows[3] == (0, 0) and rows[1][0] == rows[4][0] == 3 and rows[1][1] >= 3 and rows[5][1] >= 2
+    """Whole texts against a segmentation that scores every prefix of every word anew, with probabilities counted apart."""
+    import math
+
+    import sentencepiece
+
+    path = tokenizer_file("piece_bpe_32k.model")
+    docs = [(1, "The cat sat"), (2, None), (3, ""), (4, "The The\ncat"), (5, "中\U0001f600 unbelievable"), (5, "The cat sat"), (6, " ".join(f"w{k}ord" for k in range(3000)))]
+    docs += [(k, t) for k, t in corpus(4) if k < 90 and k > 6]
+    p = sentencepiece.SentencePieceProcessor(model_file=path)
+    found = Counter(i for _, t in docs for w in (t or "").split() for i in p.encode(w))
+    known = token_trie.text_pieces(path)
+    total = sum(found[i] for i in known) + len(known)
+    scores = {piece: math.log((found[i] + 1) / total) for i, piece in known.items()}
+    unknown, longest = min(scores.values()) - 10, max(map(len, scores))
+
+    def tokens(w):
+        top = [(0.0, 0)]
+        for e in range(1, len(w) + 1):
+            able = [(top[s][0] + scores[w[s:e]], top[s][1] - 1) for s in range(max(0, e - longest), e) if w[s:e] in scores]
+            if w[e - 1] not in scores:
+                able.append((top[e - 1][0] + unknown, top[e - 1][1] - len(w[e - 1].encode())))
+            top.append(max(able))
+        return -top[-1][1]
+
+    rows = token_trie.token_counts(frame(spark, docs), path).collect()
+    assert sorted((r.doc_id, r["__n_pretokens"], r["__n_tokens"]) for r in rows) == sorted((i, len((t or "").split()), sum(tokens("▁" + w) for w in (t or "").split())) for i, t in docs)
+    assert token_trie.token_counts(frame(spark, []), path).count() == 0
+
+
+def test_trie_begins_anew_when_full(spark, monkeypatch):
+    model = token_trie.Model({"▁a": -1.0, "b": -1.5, "ab": -2.0})
+    trie = token_trie.Trie(model)
+    first = [trie.count(w) for w in ("▁ab", "▁abb", "▁b")]
+    trie.clear()
+    assert first == [trie.count(w) for w in ("▁ab", "▁abb", "▁b")] == [2, 3, 4]
+
+
+def thue_morse(n, a, b):
+    return "".join(b if bin(i).count("1") % 2 else a for i in range(n))
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_long_patterned_words_stay_apart(spark, n):
+    """Words that polynomial hashes modulo a power of two take for one another."""
+    x, y = thue_morse(n, "a", "b"), thue_morse(n, "b", "a")
+    assert len(set(Words(pa.array([x + " " + y])).names().tolist())) == 2
+    rest = " ".join(f"r{k}" for k in range(60))
+    docs = frame(spark, [(1, x), (2, y), (3, f"{x} {x} {x} {y}"), (4, f"{rest} {x} {rest}"), (5, f"{rest} {y} {rest}"), (6, f"{x}\n{y}\n{x}")])
+    groups = {r.doc_id: r.component_id for r in signature_tree.jaccard_groups(docs, 1, 99).collect()}
+    assert groups == {1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 3}
+    counted = {r.doc_id: (r["__n_dup_lines"], r["__n_repeat_words"]) for r in host_quality.quality(docs.filter("doc_id in (3, 6)")).collect()}
+    assert counted == {3: (0, 0), 6: (1, 0)}
+    bench = spark.createDataFrame([(1, x)], "item_id long, text string")
+    assert {r.doc_id: r.n_hit for r in automaton.contamination(docs, bench).collect()} == {1: 1, 2: 0, 3: 3, 4: 1, 5: 0, 6: 2}
+    rows = [(i, t) for i, t in ((4, f"{rest} {x} {rest}"), (5, f"{rest} {y} {rest}"))]
+    got = recompression.repeated_passages(frame(spark, rows), 70).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == brute_repeats(rows, 70)
 
 
 ODD = ["", "a  b", " lead", "trail ", "a \n b\n\n  c", "it's  o'clock 's", "x <|endoftext|> y<|endoftext|>z", "　wide nb \x1c sep", "tabs\t\t x 12345 ?!  ", "é\U0001f600 mixed", "a\r\n b"]
