@@ -99,9 +99,13 @@ def clip_interval(x1, y1, x2, y2, bx0, by0, bx1, by1) -> tuple[Column, Column]:
 
 def in_ring(px: Column, py: Column, ring: Column) -> Column:
     """Ray casting; a point on the left or lower edge counts as inside."""
-    closed = F.concat(ring, F.slice(ring, 1, 1))
+    return in_edges(px, py, pairs(F.concat(ring, F.slice(ring, 1, 1))))
+
+
+def in_edges(px: Column, py: Column, edges: Column) -> Column:
+    """in_ring() over a ring's edges as pairs() gives them."""
     crossings = F.aggregate(
-        pairs(closed),
+        edges,
         F.lit(0),
         lambda n, s: n + F.when(((s["y1"] > py) != (s["y2"] > py)) & (px < (s["x2"] - s["x1"]) * (py - s["y1"]) / (s["y2"] - s["y1"]) + s["x1"]), 1).otherwise(0),
     )

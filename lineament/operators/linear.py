@@ -127,6 +127,26 @@ def chords(m: DataFrame, most: float) -> DataFrame:
     return points.select("line_id", F.col("k").alias("part"), F.col("x").alias("x1"), F.col("y").alias("y1"), F.lead("x").over(w).alias("x2"), F.lead("y").over(w).alias("y2")).filter("x2 is not null")
 
 
+def offset_vertices(vertices: DataFrame, distance: float, mitre: float = 5.0) -> DataFrame:
+    """(line_id, seq, part, x, y): lines moved `distance` to their left (right, if negative), their corners mitred.
+
+    A corner that would lie farther off than `mitre` times the distance gives
+    the two ends of its moved segments.  Vertices that repeat the one before
+    count once; lines of one place have no vertex.
+    """
+    w = Window.partitionBy("line_id").orderBy("seq")
+    own = vertices.select("line_id", "seq", "x", "y", F.lag("x").over(w).alias("px"), F.lag("y").over(w).alias("py")).filter("px is null or px <> x or py <> y")
+    n = own.select("line_id", "seq", "x", "y", *(f(c).over(w).alias(k + c) for k, f in (("p", F.lag), ("n", F.lead)) for c in ("x", "y"))).filter("px is not null or nx is not null")
+    unit = lambda dx, dy: (-dy / F.sqrt(dx * dx + dy * dy), dx / F.sqrt(dx * dx + dy * dy))
+    (ax, ay), (bx, by) = unit(F.col("x") - F.col("px"), F.col("y") - F.col("py")), unit(F.col("nx") - F.col("x"), F.col("ny") - F.col("y"))
+    n = n.withColumns({"ax": ax, "ay": ay, "bx": bx, "by": by}).withColumn("k", 1 + F.col("ax") * F.col("bx") + F.col("ay") * F.col("by"))
+    spot = lambda ux, uy: F.struct((F.col("x") + distance * ux).alias("x"), (F.col("y") + distance * uy).alias("y"))
+    before, after = spot(F.col("ax"), F.col("ay")), spot(F.col("bx"), F.col("by"))
+    corner = spot((F.col("ax") + F.col("bx")) / F.col("k"), (F.col("ay") + F.col("by")) / F.col("k"))
+    points = F.when(F.col("px").isNull(), F.array(after)).when(F.col("nx").isNull(), F.array(before)).when((F.col("k") > 0) & (F.try_divide(F.lit(2.0), F.col("k")) <= mitre * mitre), F.array(corner)).otherwise(F.array(before, after))
+    return n.select("line_id", "seq", F.posexplode(points).alias("part", "p")).select("line_id", "seq", "part", "p.x", "p.y")
+
+
 def rings(cells: DataFrame, segs: DataFrame, n: int = 15, width: float = 1.0) -> DataFrame:
     """(line_id, side, ring, z) of cells within n rings of a line: the ring and side of its nearest segment.
 

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lineament.functions import geo
+
 CELL = 10.0
 
 
@@ -49,6 +51,24 @@ def points_in_boxes(points: DataFrame, boxes: DataFrame, px: str = "x", py: str
     return points.join(dealt, on & inside).drop("__rx", "__ry")
 
 
+def points_in_rings(points: DataFrame, polygons: DataFrame, px: str = "x", py: str = "y", ring: str = "ring", cell: float = CELL) -> DataFrame:
+    """Pairs of a point and a polygon whose outer ring contains it; left and lower edges are in.
+
+    The ring's edges are laid out once a polygon, and a ray is cast only where
+    the bounds, which are found from the ring, contain the point: the tests are
+    one expression, so the optimiser can't put the cast first.
+    """
+    edges = geo.pairs(F.concat(F.col(ring), F.slice(F.col(ring), 1, 1)))
+    low = lambda k: F.array_min(F.transform(F.col(ring), lambda p: p[k]))
+    high = lambda k: F.array_max(F.transform(F.col(ring), lambda p: p[k]))
+    bounds = {"__x0": low("x"), "__y0": low("y"), "__x1": high("x"), "__y1": high("y"), "__edges": edges}
+    dealt = _dealt(polygons.withColumns(bounds), "__x0", "__y0", "__x1", "__y1", "r", cell)
+    x, y = F.col(px), F.col(py)
+    on = (_bucket(x, cell) == F.col("__rx")) & (_bucket(y, cell) == F.col("__ry"))
+    inside = F.when((x >= F.col("__x0")) & (x < F.col("__x1")) & (y >= F.col("__y0")) & (y < F.col("__y1")), geo.in_edges(x, y, F.col("__edges"))).otherwise(False)
+    return points.join(dealt, on & inside).drop("__rx", "__ry", *bounds)
+
+
 def near_pairs(points: DataFrame, key: str, reach: float) -> DataFrame:
     """(a, b) with a < b for points within reach in x and in y; each point meets the nine buckets about it."""
     base = points.select(F.col(key).alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), _bucket(F.col("x"), reach).alias("gx"), _bucket(F.col("y"), reach).alias("gy"))

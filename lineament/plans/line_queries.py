@@ -202,7 +202,7 @@ def g33_anchors(spark, sf_dir):
 _ENDS = """, n AS (SELECT line_id, max(seq) AS top FROM v_vertices GROUP BY line_id HAVING count(*) >= 2),
 ends AS (SELECT v.line_id, 0 AS e, v.x, v.y, atan2(w.y - v.y, w.x - v.x) AS angle FROM n JOIN v_vertices v ON v.line_id = n.line_id AND v.seq = 0 JOIN v_vertices w ON w.line_id = n.line_id AND w.seq = 1
   UNION ALL SELECT v.line_id, 1, v.x, v.y, atan2(w.y - v.y, w.x - v.x) FROM n JOIN v_vertices v ON v.line_id = n.line_id AND v.seq = top JOIN v_vertices w ON w.line_id = n.line_id AND w.seq = top - 1),
-sn AS (SELECT *, CAST(floor(line_id / 15000) AS BIGINT) AS blk, CAST(floor(x * 4) AS BIGINT) AS sx, CAST(floor(y * 4) AS BIGINT) AS sy FROM ends)"""
+sn AS (SELECT *, CAST(0 AS BIGINT) AS blk, CAST(floor(x * 4) AS BIGINT) AS sx, CAST(floor(y * 4) AS BIGINT) AS sy FROM ends)"""
 _EDGES = _ENDS + ", ed AS (SELECT DISTINCT p.line_id AS a, q.line_id AS b FROM sn p JOIN sn q USING (blk, sx, sy) WHERE p.line_id < q.line_id)"
 _REACH = ", bo AS (SELECT a, b FROM {0} UNION SELECT b, a FROM {0}), re AS (SELECT a AS node, a AS seen FROM bo UNION SELECT re.node, bo.b FROM re JOIN bo ON re.seen = bo.a)"
 

@@ -141,14 +141,14 @@ def r12_hummock_hollow(spark, sf_dir):
     return f.filter("z is not null").join(F.broadcast(span)).select("r", "c", F.round(d, 9).alias("chh"), cls.alias("class"))
 
 
-@query(with_views("SELECT r, c, round(coalesce(z, -9999), 6) AS filled, round(CASE WHEN z IS NULL THEN 9999 WHEN z < 0 THEN 0 ELSE z END, 6) AS blocked, round(z - min(z) OVER (PARTITION BY r), 6) AS above_least, round(greatest(least(z / 20, 1), 0), 6) AS clamped FROM v_cells WHERE c BETWEEN 10 AND 89", "v_cells"))
+@query(with_views("SELECT r, c, round(coalesce(z, -9999), 9) AS filled, round(CASE WHEN z IS NULL THEN 9999 WHEN z < 0 THEN 0 ELSE z END, 9) AS blocked, round(z - min(z) OVER (PARTITION BY r), 9) AS above_least, round(greatest(least(z / 20, 1), 0), 9) AS clamped FROM v_cells WHERE c BETWEEN 10 AND 89", "v_cells"))
 def r05_nodata(spark, sf_dir):
     """Nodata filled and blocked, values less the row's least, clamped, cropped to a range of columns."""
     from pyspark.sql import Window
 
     z = F.col("z")
     out = views.cells(spark, sf_dir).filter("c between 10 and 89")
-    return out.select("r", "c", F.round(F.coalesce(z, F.lit(-9999.0)), 6).alias("filled"), F.round(F.when(z.isNull(), 9999.0).when(z < 0, 0.0).otherwise(z), 6).alias("blocked"), F.round(z - F.min(z).over(Window.partitionBy("r")), 6).alias("above_least"), F.round(F.greatest(F.least(z / 20, F.lit(1.0)), F.lit(0.0)), 6).alias("clamped"))
+    return out.select("r", "c", F.round(F.coalesce(z, F.lit(-9999.0)), 9).alias("filled"), F.round(F.when(z.isNull(), 9999.0).when(z < 0, 0.0).otherwise(z), 9).alias("blocked"), F.round(z - F.min(z).over(Window.partitionBy("r")), 9).alias("above_least"), F.round(F.greatest(F.least(z / 20, F.lit(1.0)), F.lit(0.0)), 9).alias("clamped"))
 
 
 _NINE = ", nine AS (SELECT p.r, p.c, p.z, {0} FROM v_cells p {1} WHERE p.z IS NOT NULL)"

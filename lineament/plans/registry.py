@@ -23,7 +23,7 @@ def query(sql: str | None = None):
 
 
 def _load() -> None:
-    from lineament.plans import cloud_queries, join_queries, line_queries, raster_queries, table_queries  # noqa: F401
+    from lineament.plans import cloud_queries, join_queries, line_queries, raster_queries, shape_queries, table_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

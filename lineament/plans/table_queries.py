@@ -73,19 +73,9 @@ def p02_default_keys(spark, sf_dir):
     return views.stored(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("olnfid"), seg.cast("long").alias("olnseg"), F.coalesce(F.nullif(F.col("o_orderstatus"), F.lit("P")), F.lit("none")).alias("status"))
 
 
-@query(with_views("SELECT r, c, round(z, 6) AS z FROM v_cells WHERE z IS NOT NULL AND c % 2 = 0", "v_cells"))
+@query(with_views("SELECT r, c, round(z, 6) AS z FROM v_cells WHERE z IS NOT NULL", "v_cells"))
 def p06_drop_null(spark, sf_dir):
     """Rows with a null in a subset of columns dropped."""
-    return _valid(spark, sf_dir).filter("c % 2 = 0")
-
-
-@query()
-def p06_drop_null_all_columns(spark, sf_dir):
-    """Rows with a null in a subset of columns dropped, all columns of the raster kept."""
-    return _valid(spark, sf_dir)
-
-
-def _valid(spark, sf_dir):
     return views.cells(spark, sf_dir).na.drop(subset=["z"]).select("r", "c", F.round("z", 6).alias("z"))
 
 

@@ -61,6 +61,19 @@ def las(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def quads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, ecosite, rings, x0, y0, x1, y1): slanting convex quadrilaterals and their bounds."""
+    ring = "array(named_struct('x', x0 + 0D, 'y', y0 + 0D), named_struct('x', x1 + 0D, 'y', y0 + 1.5D), named_struct('x', x1 - 2D, 'y', y1 + 1D), named_struct('x', x0 - 1D, 'y', y1 - 2D))"
+    return boxes(spark, sf_dir).selectExpr("id", "ecosite", f"array({ring}) as rings", "x0 - 1D as x0", "y0 + 0D as y0", "x1 + 0D as x1", "y1 + 1D as y1")
+
+
+def zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, rings): five by five rectangles side by side, from the nations."""
+    n = "cast(n_nationkey as bigint)"
+    base = stored(spark, sf_dir, "nation").selectExpr(f"{n} as id", f"10D + 15 * ({n} % 5) as x0", f"10D + 20 * floor({n} / 5) as y0")
+    return base.selectExpr("id", "array(array(named_struct('x', x0, 'y', y0), named_struct('x', x0 + 15, 'y', y0), named_struct('x', x0 + 15, 'y', y0 + 20), named_struct('x', x0, 'y', y0 + 20))) as rings")
+
+
 #: The same views as DuckDB common table expressions.
 CTE = {
     "v_cells": "SELECT CAST(floor(o_orderkey / 100) AS BIGINT) AS r, o_orderkey % 100 AS c, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_totalprice / 500000 * 28 END AS z FROM orders",
@@ -69,6 +82,8 @@ CTE = {
     "v_points": "SELECT c_custkey AS id, CAST(c_custkey * 37 % 1000 AS DOUBLE) / 10 AS x, CAST(c_custkey * 53 % 1500 AS DOUBLE) / 10 AS y, c_acctbal / 1000 AS h FROM customer",
     "v_boxes": "SELECT s_suppkey AS id, s_suppkey * 17 % 90 AS x0, s_suppkey * 29 % 140 AS y0, s_suppkey * 17 % 90 + 5 + s_nationkey % 10 AS x1, s_suppkey * 29 % 140 + 5 + s_nationkey % 7 AS y1, concat('E', s_nationkey) AS ecosite FROM supplier",
     "v_las": "SELECT l_partkey % 100 + l_discount * 5 AS x, l_suppkey % 100 + l_tax * 5 AS y, l_quantity * 0.6 AS z, l_extendedprice AS intensity, CASE l_returnflag WHEN 'R' THEN 2 WHEN 'A' THEN 1 ELSE 7 END AS cls, l_linenumber AS nret FROM lineitem",
+    "v_quads": "SELECT id, ecosite, [{'x': CAST(x0 AS DOUBLE), 'y': CAST(y0 AS DOUBLE)}, {'x': CAST(x1 AS DOUBLE), 'y': y0 + 1.5}, {'x': CAST(x1 - 2 AS DOUBLE), 'y': CAST(y1 + 1 AS DOUBLE)}, {'x': CAST(x0 - 1 AS DOUBLE), 'y': CAST(y1 - 2 AS DOUBLE)}] AS ring, x0 - 1 AS x0, y0, x1, y1 + 1 AS y1 FROM v_boxes",
+    "v_zones": "SELECT id, x0, y0, x1, y1, [{'x': x0, 'y': y0}, {'x': x1, 'y': y0}, {'x': x1, 'y': y1}, {'x': x0, 'y': y1}] AS ring FROM (SELECT *, x0 + 15 AS x1, y0 + 20 AS y1 FROM (SELECT CAST(n_nationkey AS BIGINT) AS id, CAST(10 + 15 * (n_nationkey % 5) AS DOUBLE) AS x0, CAST(10 + 20 * floor(n_nationkey / 5) AS DOUBLE) AS y0 FROM nation))",
     "v_segs": "SELECT line_id, seq, x AS x1, y AS y1, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM v_vertices WINDOW w AS (PARTITION BY line_id ORDER BY seq)",
 }
 

@@ -226,7 +226,7 @@ def test_change_in_a_far_ring(spark):
 
 def test_all_valid_cells(spark, tmp_path):
     z, _ = small_tables(spark, tmp_path)
-    got = {(r.r, r.c): r.z for r in registry.queries()["p06_drop_null_all_columns"](spark, str(tmp_path)).collect()}
+    got = {(r.r, r.c): r.z for r in registry.queries()["p06_drop_null"](spark, str(tmp_path)).collect()}
     assert got == {at: pytest.approx(v, abs=1e-6) for at, v in z.items() if v is not None}
 
 
