@@ -2,7 +2,8 @@
 
 Lineage is cut by writing Parquet under ``spark.checkpoint.dir``: every
 executor can read the files, so losing one loses nothing.  Only where the
-setting is absent (tests, a laptop) is a folder of our own chosen.
+setting is absent and Spark runs in one process (tests, a laptop) is a folder of
+our own chosen; on a cluster its absence is an error.
 """
 
 from __future__ import annotations
@@ -18,9 +19,11 @@ BROADCAST_BYTES = 24 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, or one for this process if none is set."""
+    """The cluster's shared folder, or one for this process if none is set and it is alone."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="lineament-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

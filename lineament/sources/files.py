@@ -7,6 +7,11 @@ from pyspark.sql import SparkSession
 
 def listed(spark: SparkSession, path: str, *endings: str) -> list[str]:
     """The files at or under a path, those in folders below too, in order; hidden ones and other endings left out."""
+    return [p for p, _ in listed_sizes(spark, path, *endings)]
+
+
+def listed_sizes(spark: SparkSession, path: str, *endings: str) -> list[tuple[str, int]]:
+    """listed() with the bytes of each file."""
     jvm = spark._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     store = at.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -15,7 +20,7 @@ def listed(spark: SparkSession, path: str, *endings: str) -> list[str]:
         s = files.next()
         name = s.getPath().getName()
         if s.getLen() and name[0] not in "._" and (not endings or name.lower().endswith(endings)):
-            found.append(s.getPath().toString())
+            found.append((s.getPath().toString(), s.getLen()))
     return sorted(found)
 
 
