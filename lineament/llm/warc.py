@@ -1,6 +1,6 @@
 """WARC archives: a Python data source that reads them and a sink that writes them.
 
-The reader plans one partition a file.  Each record's header is parsed first;
+The reader plans a partition for each file, or for several small ones.  Each record's header is parsed first;
 predicates on the record's type and on its headers are pushed down and decide,
 before anything of the block is touched, whether it is read, and with
 payload=false no block is.  Blocks that aren't wanted are sought past.
@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition, IsNotNull
 
 from lineament.plans.storage import sized, written
+from lineament.sources.files import listed_sizes, opened
 
 #: Output columns that stand for a header.
 HEADERS = {"record_type": "WARC-Type", "record_id": "WARC-Record-ID", "target_uri": "WARC-Target-URI", "refers_to": "WARC-Refers-To", "payload_digest": "WARC-Payload-Digest", "content_type": "Content-Type"}
@@ -36,6 +37,8 @@ SCHEMA = T.StructType(
     ]
 )
 BATCH_BYTES = 8 << 20
+#: Bytes of the small files that are read by one task.
+TOGETHER = 32 << 20
 
 
 class Files(InputPartition):
@@ -44,15 +47,7 @@ class Files(InputPartition):
 
 
 def _opened(path: str):
-    """A binary stream; local and mounted files directly, other stores through Arrow's file systems."""
-    if path.startswith("file:") or "://" not in path:
-        local = path.removeprefix("file:")
-        f = open("/" + local.lstrip("/") if path.startswith("file:") else local, "rb")
-    else:
-        from pyarrow import fs
-
-        store, inner = fs.FileSystem.from_uri(path)
-        f = store.open_input_file(inner)
+    f = opened(path)
     return gzip.GzipFile(fileobj=f) if path.endswith(".gz") else f
 
 
@@ -93,7 +88,7 @@ def _http(f, size: int) -> tuple[dict[str, str], int]:
 
 class WarcReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
-        self.files = json.loads(options["files"]) if "files" in options else _local_files(options["path"])
+        self.files = [tuple(f) for f in json.loads(options["files"])]
         self.payload = options.get("payload", "true").lower() != "false"
         self.wanted: list[tuple[str, frozenset[str] | None]] = []
 
@@ -112,7 +107,14 @@ class WarcReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[Files]:
-        return [Files([f]) for f in self.files] or [Files([])]
+        out, size = [Files([])], 0
+        for path, n in self.files:
+            if out[-1].files and size + n > TOGETHER:
+                out.append(Files([]))
+                size = 0
+            out[-1].files.append(path)
+            size += n
+        return out
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([*((c, pa.string()) for c in HEADERS), ("payload_length", pa.int64()), ("payload", pa.binary()), ("headers", pa.map_(pa.string(), pa.string())), ("file", pa.string()), ("position", pa.int64())])
@@ -146,7 +148,7 @@ class WarcReader(DataSourceReader):
 
 
 class WarcSource(DataSource):
-    """Options: path (a local file or folder) or files (a JSON list of any Spark paths); payload=false leaves blocks unread."""
+    """Options: files, a JSON list of (path, bytes); payload=false leaves blocks unread."""
 
     @classmethod
     def name(cls) -> str:
@@ -159,27 +161,15 @@ class WarcSource(DataSource):
         return WarcReader(dict(self.options))
 
 
-def _local_files(path: str) -> list[str]:
-    import os
-
-    path = path.removeprefix("file://")
-    if not os.path.isdir(path):
-        return [path]
-    return sorted(f"{path}/{n}" for n in os.listdir(path) if n[0] not in "._")
-
-
-def _listed(spark: SparkSession, path: str) -> list[str]:
-    """The files under a path of any store that Spark knows."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)
-    return sorted(s.getPath().toString() for s in found if s.isFile() and s.getLen() and s.getPath().getName()[0] not in "._")
-
-
 def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
-    """Records under path; filters on the columns that stand for headers are pushed to the reader."""
+    """Records of the files at or under path, those in folders below too; filters on the columns that stand for headers are pushed to the reader.
+
+    Turns spark.sql.python.filterPushdown.enabled on for the session, which the
+    reader needs.
+    """
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcSource)
-    return spark.read.format("warc").option("files", json.dumps(_listed(spark, path))).option("payload", str(payload).lower()).load()
+    return spark.read.format("warc").option("files", json.dumps(listed_sizes(spark, path))).option("payload", str(payload).lower()).load()
 
 
 def base32(hex_digest):

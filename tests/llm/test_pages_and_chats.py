@@ -50,7 +50,8 @@ def test_warc_pushes_filters(spark):
 
 def test_warc_reads_other_records(spark, tmp_path):
     plain = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nContent-Length: 3\r\nX-Long: a\r\n b\r\n\r\nabc\r\n\r\n"
-    (tmp_path / "x.warc.gz").write_bytes(gzip.compress(plain) + gzip.compress(plain))
+    (tmp_path / "2024" / "01").mkdir(parents=True)
+    (tmp_path / "2024" / "01" / "x.warc.gz").write_bytes(gzip.compress(plain) + gzip.compress(plain))
     rows = warc.read_warc(spark, str(tmp_path)).collect()
     assert [(r.record_type, bytes(r.payload), r.headers["x-long"]) for r in rows] == [("warcinfo", b"abc", "a b")] * 2
 
