@@ -1,26 +1,39 @@
 """Documents in, packed sequences out: five stages over the operators of lineament.llm.
 
 Each stage reads what the one before kept and, but for the last, returns rows
-with the columns of documents, the text as the stages so far left it.
+with the columns of documents, the text as the stages so far left it and n_chars
+of that text.  Further columns are kept as they are, whatever their names, but
+for __n_lines and __n_dropped.  Rows that repeat a doc_id are documents of their
+own, but repeats of both doc_id and words stay or go together; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lineament.llm import automaton, host_quality, packing, signature_tree, site_lines
 from lineament.llm.queries import tokenizer_file
 from lineament.plans.storage import written
 
 
+def _measured(docs: DataFrame) -> DataFrame:
+    """docs with n_chars, if there is one, told anew from the text."""
+    if "n_chars" not in docs.columns:
+        return docs
+    n = F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars"))
+    return docs.select(*(n.alias(c) if c == "n_chars" else docs[c] for c in docs.columns))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and their source's verdict."""
+    """Documents that pass the base rules and their source's verdict; those without text go."""
     return host_quality.accepted(docs, host="source", text="text")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without their source's boilerplate lines."""
-    return site_lines.site_lines_removed(docs, host="source", text="text").select(*docs.columns)
+    return _measured(site_lines.site_lines_removed(docs, host="source", text="text").select(*docs.columns))
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +44,7 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the benchmark's passages; documents that are mostly benchmark go."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return automaton.decontaminated(docs, benchmark, window=8, longest=0, coverage=0.5)
+    return _measured(automaton.decontaminated(docs, benchmark, window=8, longest=0, coverage=0.5))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

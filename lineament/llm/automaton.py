@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lineament.llm.words import LOWER, NOT_ALNUM, Words, bounded, pieces
+from lineament.llm.words import LOWER, NOT_ALNUM, Words, bounded, pieces, unused
 from lineament.plans.storage import sized, written
 
 WINDOW = 8
@@ -293,11 +293,11 @@ def cleaned_text(text: str | None, spans: list[list[int]], longest: int) -> str
     return b"".join([*out, raw[at:]]).decode()
 
 
-def _cleaned(longest: int, coverage: float, schema: T.StructType, text: str):
+def _cleaned(longest: int, coverage: float, schema: T.StructType, text: str, found: list[str]):
     def run(batches):
         for b in pieces(batches, text):
             rows, texts = [], []
-            for i, (t, n, hits, spans) in enumerate(zip(b.column(text).to_pylist(), *(b.column(k).to_pylist() for k in ("__n", "__hit", "__spans")))):
+            for i, (t, n, hits, spans) in enumerate(zip(b.column(text).to_pylist(), *(b.column(k).to_pylist() for k in found))):
                 if hits and hits > coverage * n:
                     continue
                 rows.append(i)
@@ -313,19 +313,24 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
 
     A row goes if over `coverage` of its words are hit; in the others, stretches
     of more than `longest` hit words are cut out.  Rows are matched to their hits
-    by doc_id and words, so rows that repeat a doc_id are told apart.
+    by doc_id and words, so rows that repeat a doc_id are told apart.  A null
+    text stays; an empty table gives no rows; further columns are kept as they
+    are, whatever their names.
     """
-    m = benchmark_matches(docs, benchmark, window).filter("n_hit > 0").select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("n_words").alias("__n"), F.col("n_hit").alias("__hit"), F.col("spans").alias("__spans"))
-    m = written(m.dropDuplicates(["__id", "__key"]), "hits")
-    keyed = docs.mapInArrow(_with_key(docs.schema), T.StructType([*docs.schema.fields, T.StructField("__doc_key", T.BinaryType())]))
-    on = keyed["doc_id"].cast("long").eqNullSafe(m["__id"]) & (keyed["__doc_key"] == m["__key"])
-    return keyed.join(sized(m, 300), on, "left").drop("__id", "__key", "__doc_key").mapInArrow(_cleaned(longest, coverage, docs.schema, "text"), docs.schema)
+    own = {k: unused(docs, k) for k in ("id", "key", "n", "hit", "spans", "doc_key")}
+    found = {"id": "doc_id", "key": "key", "n": "n_words", "hit": "n_hit", "spans": "spans"}
+    m = benchmark_matches(docs, benchmark, window).filter("n_hit > 0").select(*(F.col(c).alias(own[k]) for k, c in found.items()))
+    m = written(m.dropDuplicates([own["id"], own["key"]]), "hits")
+    keyed = docs.mapInArrow(_with_key(docs.schema, own["doc_key"]), T.StructType([*docs.schema.fields, T.StructField(own["doc_key"], T.BinaryType())]))
+    on = keyed["doc_id"].cast("long").eqNullSafe(m[own["id"]]) & (keyed[own["doc_key"]] == m[own["key"]])
+    rows = keyed.join(sized(m, 300), on, "left").drop(own["id"], own["key"], own["doc_key"])
+    return rows.mapInArrow(_cleaned(longest, coverage, docs.schema, "text", [own[k] for k in ("n", "hit", "spans")]), docs.schema)
 
 
-def _with_key(schema: T.StructType):
+def _with_key(schema: T.StructType, key: str):
     def run(batches):
         for b in pieces(batches):
             keys = Words(b.column("text"), NOT_ALNUM, lower=True).digests()
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys, pa.binary())], names=[*schema.names, "__doc_key"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys, pa.binary())], names=[*schema.names, key])
 
     return run

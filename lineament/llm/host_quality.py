@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lineament.llm.words import Words, bounded, gram_names, mix, pieces, span_names
+from lineament.llm.words import Words, bounded, gram_names, mix, pieces, span_names, unused
 from lineament.plans.storage import sized, written
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
@@ -165,9 +165,10 @@ def quality(docs: DataFrame, host: str = "source", text: str = "text", least_wor
 def accepted(docs: DataFrame, host: str = "source", text: str = "text", least_words: int = 50, reject: float = REJECT, trust: float = TRUST) -> DataFrame:
     """The rows of docs that are kept, as quality() says; two passes over the texts, of which only hosts' sums are shuffled.
 
-    The columns are those of docs; names that quality() replaces are refused.
+    The columns are those of docs, as they are, whatever their names.
     """
-    if taken := [c for c in docs.columns if c.lower() in ADDED]:
-        raise ValueError(f"columns {taken} are named like those of the operator")
-    rates = host_rates(judged(docs.select(host, text), text, least_words), host, reject, trust)
-    return verdicts(judged(docs, text, least_words), rates, host).filter("__kept").select(*docs.columns)
+    moved = {c: unused(docs, f"moved_{i}") for i, c in enumerate(docs.columns) if c.lower() in ADDED}
+    rows = docs.select(*(docs[c].alias(moved.get(c, c)) for c in docs.columns))
+    rates = host_rates(judged(rows.select(host, text), text, least_words), host, reject, trust)
+    kept = verdicts(judged(rows, text, least_words), rates, host).filter("__kept")
+    return kept.select(*(F.col(moved.get(c, c)).alias(c) for c in docs.columns))

@@ -489,7 +489,10 @@ def linked_classes(docs: DataFrame, shingle: int, percent: int, cell_rows: int =
     tops = firsts.join(labels, "node", "left").withColumn("group", F.coalesce("component", "node"))
     least = tops.groupBy("group").agg(F.min(F.struct(F.col("first").alias("component"), F.col("digest").alias("leader"))).alias("top"), F.sum("rows").alias("rows_"))
     groups = tops.select("digest", "group").join(least.filter("rows_ > 1"), "group").select("digest", "top.component", "top.leader")
-    return sets, written(groups, "groups")
+    groups = written(groups, "groups")
+    dropped(firsts)
+    dropped(labels)
+    return sets, groups
 
 
 def _read(docs: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lineament.llm.words import unused
 from lineament.plans.storage import sized, written
 
 RATIO, LEAST_PAGES, LEAST_COUNT = 0.1, 20, 10
@@ -42,19 +43,22 @@ def site_lines_removed(docs: DataFrame, host: str = "source", text: str = "text"
     A line goes if its trimmed form is on over `ratio` of its host's pages, on
     `least_count` of them at least, and the host has `least_pages` at least.
     What stays is joined by line feeds, unchanged; a null text stays null and has
-    no lines, an empty one has one.  Rows that repeat are pages each.  Hosts'
+    no lines, an empty one has one.  Rows that repeat are pages each; an empty
+    table gives no rows; columns named like the two that are added are replaced.  Hosts'
     line sets are met by a join on the host: broadcast up to a counted size,
     else a shuffle whose hot hosts adaptive execution splits.
     """
-    names = docs.columns
-    sets = written(boilerplate(docs, host, text, ratio, least_pages, least_count), "boilerplate")
+    names = [n for n in docs.columns if n.lower() not in ("__n_lines", "__n_dropped")]
+    docs = docs.select(*names)
+    sets = written(boilerplate(docs.select(host, text), host, text, ratio, least_pages, least_count), "boilerplate")
     size = sets.select(F.coalesce(F.sum(F.size("__lines")), F.lit(0)).alias("n"), F.count("*").alias("hosts")).first()
-    hinted = sized(sets, 24, size["n"] + 8 * size["hosts"])
-    rows = docs.join(hinted, docs[host].eqNullSafe(hinted["__host"]), "left").drop("__host")
+    key, gone, stays = unused(docs, "host"), unused(docs, "lines"), unused(docs, "kept_lines")
+    hinted = sized(sets.toDF(key, gone), 24, size["n"] + 8 * size["hosts"])
+    rows = docs.join(hinted, docs[host].eqNullSafe(hinted[key]), "left").drop(key)
     lines = F.split(F.col(text), "\n", -1)
-    kept = F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("__lines"), _line_names(F.trim(x))), F.lit(False)))
-    out = rows.withColumn("__kept_lines", F.when(F.col("__lines").isNull(), lines).otherwise(kept))
-    columns = [F.array_join("__kept_lines", "\n").alias(n) if n == text else docs[n] for n in names]
+    kept = F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col(gone), _line_names(F.trim(x))), F.lit(False)))
+    out = rows.withColumn(stays, F.when(F.col(gone).isNull(), lines).otherwise(kept))
+    columns = [F.array_join(stays, "\n").alias(n) if n == text else docs[n] for n in names]
     n_lines = F.when(F.col(text).isNull(), 0).otherwise(F.size(lines))
-    n_kept = F.when(F.col(text).isNull(), 0).otherwise(F.size("__kept_lines"))
+    n_kept = F.when(F.col(text).isNull(), 0).otherwise(F.size(stays))
     return out.select(*columns, n_lines.cast("long").alias("__n_lines"), (n_lines - n_kept).cast("long").alias("__n_dropped"))

@@ -212,6 +212,8 @@ def test_decontaminated(spark):
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
     df = automaton.decontaminated(frame(spark, docs), bench)
     assert df.columns == SHAPE.replace(",", "").split()[::2]
+    odd = automaton.decontaminated(frame(spark, docs).withColumn("__spans", F.lit(1)).withColumn("__KEY", F.lit("k")).withColumn("__doc_key", F.lit(2)), bench)
+    assert sorted((r.doc_id, r["__spans"], r["__KEY"], r["__doc_key"]) for r in odd.collect()) == [(1, 1, "k", 2), (3, 1, "k", 2), (4, 1, "k", 2)]
     assert {r.doc_id: r.text for r in df.collect()} == {1: "One, two. ! three four five six seven eight nine ten eleven", 3: "clean text", 4: None}
     assert automaton.decontaminated(frame(spark, docs), bench.limit(0)).count() == 4
 
@@ -243,11 +245,9 @@ def test_host_verdicts(spark):
     assert verdict == {"plain0": "ordinary", "plain1": "ordinary", "plain2": "ordinary", "bad": "rejected", "fine": "trusted", "small": "ordinary", None: "ordinary"}
     kept = {r.doc_id for r in out if r["__kept"]}
     assert kept == {i for i, t, h in rows if h != "bad" and (t == good or t == junk and h == "fine")}
-    accepted = host_quality.accepted(docs.drop("__kept"))
-    assert accepted.columns == ["doc_id", "text", "source", "n_words"] and {r.doc_id for r in accepted.collect()} == kept
-    assert host_quality.accepted(docs.drop("__kept").limit(0)).count() == host_quality.quality(docs.limit(0)).count() == 0
-    with pytest.raises(ValueError):
-        host_quality.accepted(docs)
+    accepted = host_quality.accepted(docs)
+    assert accepted.columns == docs.columns and {(r.doc_id, r["__kept"]) for r in accepted.collect()} == {(i, 1) for i in kept}
+    assert host_quality.accepted(docs.limit(0)).count() == host_quality.quality(docs.limit(0)).count() == 0
 
 
 def test_beta_prior_by_hand(spark):
@@ -262,7 +262,8 @@ def test_beta_prior_by_hand(spark):
 
 def test_site_lines(spark):
     docs = [(k, f" Menu \nbody {k}\n\nMenu") for k in range(30)] + [(40, None), (41, ""), (42, "Menu")]
-    out = site_lines.site_lines_removed(frame(spark, docs).withColumn("lines", F.lit(1)))
+    out = site_lines.site_lines_removed(frame(spark, docs).withColumn("lines", F.lit(1)).withColumn("__lines", F.lit(2)).withColumn("__Host", F.lit(3)).withColumn("__n_lines", F.lit("x")))
+    assert {(r["__lines"], r["__Host"]) for r in out.collect()} == {(2, 3)} and out.schema["__n_lines"].dataType.simpleString() == "bigint"
     rows = {r.doc_id: r for r in out.collect()}
     assert rows[3].text == "body 3\n" and rows[3]["__n_dropped"] == 2 and rows[40].text is None and rows[41].text == "" and rows[42].text == ""
     few = site_lines.site_lines_removed(frame(spark, docs[:9]))

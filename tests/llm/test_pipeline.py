@@ -1,5 +1,7 @@
 """The pipeline's stages on planted cases, and its bookkeeping."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from lineament.llm import queries
 
@@ -27,6 +29,22 @@ def test_stages(spark, tmp_path):
     assert {r.doc_id for r in out} == {*range(30), 42}
 
 
+def test_odd_tables(spark, tmp_path):
+    """Empty tables, clashing columns and repeated ids pass all stages."""
+    words = lambda k, n=120: " ".join(f"w{k}x{j}" for j in range(n))
+    rows = [(1, words(1), "en", "s", 7, "a"), (1, words(2), "en", "s", 7, "b"), (2, words(1), None, None, None, "c"), (None, words(3), "en", "s", 7, "d"), (5, None, "en", "s", 0, "e"), (6, "", "en", "s", 0, "f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, __host string").withColumn("__kept", F.lit(0)).withColumn("__spans", F.col("__host")).withColumn("__words", F.lit(1))
+    spark.createDataFrame([(1, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for table, want in ((docs, {"a", "b", "d"}), (docs.limit(0), set())):
+        at = table
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            at = stage(spark, at, str(tmp_path))
+            assert at.columns == docs.columns
+        out = at.collect()
+        assert {r["__host"] for r in out} == want and all(r.n_chars == len(r.text) and r["__spans"] == r["__host"] for r in out)
+        assert {r.doc_id for r in corpus_pipeline.STAGES[-1][1](spark, at, str(tmp_path)).collect()} == {r.doc_id for r in out}
+
+
 def test_registered():
     assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{k}" for k in range(1, 11)]
     assert set(queries.ORACLES) <= set(queries.QUERIES)
