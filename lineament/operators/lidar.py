@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,9 +71,22 @@ def tree_tops(cells: DataFrame, window: Column, least: float, most: int) -> Data
 
     window is in cells, from z; `most` bounds its half in cells.
     """
-    from lineament.operators.raster import disc, spread
+    from lineament.operators.raster import TILED, by_tiles, disc, shifted, spread
 
     tall = cells.filter(F.col("z") > least)
+    if len(disc(most)) > TILED:
+        spots = [o for o in disc(most) if o[2]]
+
+        def kernel(there, columns, r0, c0, core) -> pd.DataFrame:
+            z, half = np.where(there, columns["z"], -np.inf), columns["half"]
+            beaten = np.zeros(z.shape, bool)
+            for i, j, d in spots:
+                other = shifted(z, i, j, -np.inf)
+                beaten |= (d <= half) & ((other > z) | ((other == z) & ((i, j) < (0, 0))))
+            rr, cc = np.nonzero((there & ~beaten)[core, core])
+            return pd.DataFrame({"r": rr + r0 + most, "c": cc + c0 + most, "z": z[core, core][rr, cc]})
+
+        return by_tiles(tall.select("r", "c", "z", (window / 2).cast("double").alias("half")), most, kernel, "r long, c long, z double")
     seen = spread(tall.select("r", "c", "z"), disc(most)).filter("not (i = 0 and j = 0)").select("r", "c", F.struct("v", (-F.col("r") - F.col("i")).alias("nr"), (-F.col("c") - F.col("j")).alias("nc")).alias("other"), "d")
     own = tall.select("r", "c", "z", (window / 2).alias("half"))
     beaten = seen.join(own, ["r", "c"]).filter((F.col("d") <= F.col("half")) & (F.col("other") > F.struct(F.col("z").alias("v"), (-F.col("r")).alias("nr"), (-F.col("c")).alias("nc"))))

@@ -2,7 +2,7 @@
 
 Neighbourhoods are stencils: a cell is sent to the targets that see it, and what
 arrives is aggregated by target, combined before the shuffle.  From TILED offsets
-on, cells travel once, by tiles with a halo, and numpy sums the shifted tiles.
+on, cells travel once, by tiles with a halo, and numpy works on the shifted tiles.
 """
 
 from __future__ import annotations
@@ -46,23 +46,62 @@ def focal(cells: DataFrame, offsets: list[tuple[int, int, float]]) -> DataFrame:
     return stats.filter("here").drop("here")
 
 
-def focal_tiled(cells: DataFrame, offsets: list[tuple[int, int, float]], tile: int = TILE) -> DataFrame:
-    """focal() by tiles with a halo: each cell travels to the tiles that see it, most to one; a task holds one tile."""
-    reach = max(max(abs(i), abs(j)) for i, j, _ in offsets)
-    spots = [(i, j) for i, j, _ in offsets]
+def shifted(a: np.ndarray, i: int, j: int, fill: float) -> np.ndarray:
+    """a, each cell showing what lies at offset (i, j) from it."""
+    out = np.full(a.shape, fill, a.dtype)
+    rows, cols = a.shape
+    if abs(i) < rows and abs(j) < cols:
+        out[max(-i, 0) : rows - max(i, 0), max(-j, 0) : cols - max(j, 0)] = a[max(i, 0) : rows + min(i, 0), max(j, 0) : cols + min(j, 0)]
+    return out
+
+
+def flag_distance(flags: np.ndarray, reach: float) -> np.ndarray:
+    """Distance to the nearest flagged cell, in cells; more than reach, or infinite, where none is within reach: along rows first, then across them."""
+    at = np.where(flags, np.arange(flags.shape[1], dtype=float), np.nan)
+    left = np.arange(flags.shape[1]) - np.fmax.accumulate(np.where(np.isnan(at), -np.inf, at), axis=1)
+    right = np.fmin.accumulate(np.where(np.isnan(at), np.inf, at)[:, ::-1], axis=1)[:, ::-1] - np.arange(flags.shape[1])
+    row = np.minimum(left, right) ** 2
+    best = row
+    for i in range(1, int(reach) + 1):
+        best = np.minimum(best, np.minimum(shifted(row, i, 0, np.inf), shifted(row, -i, 0, np.inf)) + i * i)
+    return np.sqrt(best)
+
+
+def by_tiles(cells: DataFrame, reach: int, kernel, shape: str, tile: int = TILE) -> DataFrame:
+    """kernel(there, columns, r0, c0, core) over tiles with a halo of reach cells: each cell travels to the tiles that see it, most to one.
+
+    there and columns, by name, are grids whose first cell is (r0, c0), nan where
+    there is nothing; core is the slice of the tile itself in both directions.
+    The kernel gives rows of shape; a task holds one tile.
+    """
     span = lambda k: F.sequence(F.floor((F.col(k) - reach) / tile), F.floor((F.col(k) + reach) / tile))
     dealt = cells.withColumn("tr", F.explode(span("r"))).withColumn("tc", F.explode(span("c")))
+    names = [c for c in cells.columns if c not in ("r", "c")]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         r0, c0 = int(pdf.tr.iloc[0]) * tile - reach, int(pdf.tc.iloc[0]) * tile - reach
         size = tile + 2 * reach
-        z = np.full((size, size), np.nan)
-        there = np.zeros((size, size), bool)
         i, j = (pdf.r - r0).to_numpy(), (pdf.c - c0).to_numpy()
-        z[i, j], there[i, j] = pdf.z.to_numpy(float, na_value=np.nan), True
+        there = np.zeros((size, size), bool)
+        there[i, j] = True
+        columns = {}
+        for n in names:
+            columns[n] = np.full((size, size), np.nan)
+            columns[n][i, j] = pdf[n].to_numpy(float, na_value=np.nan)
+        return kernel(there, columns, r0, c0, slice(reach, reach + tile))
+
+    return dealt.groupBy("tr", "tc").applyInPandas(run, shape)
+
+
+def focal_tiled(cells: DataFrame, offsets: list[tuple[int, int, float]], tile: int = TILE) -> DataFrame:
+    """focal() by tiles with a halo."""
+    reach = max(max(abs(i), abs(j)) for i, j, _ in offsets)
+    spots = [(i, j) for i, j, _ in offsets]
+
+    def kernel(there, columns, r0, c0, core) -> pd.DataFrame:
+        z = columns["z"]
         full = ~np.isnan(z)
         zero = np.where(full, z, 0.0)
-        core = slice(reach, reach + tile)
         at = lambda a, di, dj: a[reach + di : reach + di + tile, reach + dj : reach + dj + tile]
         n = sum(at(full, *o).astype(np.int64) for o in spots)
         total = sum(at(zero, *o) for o in spots)
@@ -73,7 +112,7 @@ def focal_tiled(cells: DataFrame, offsets: list[tuple[int, int, float]], tile: i
         out = pd.DataFrame({"r": rr + r0 + reach, "c": cc + c0 + reach, "z": z[core, core][rr, cc], "focal_n": n[rr, cc], "focal_sum": np.where(n > 0, total, np.nan)[rr, cc], "focal_mean": mean[rr, cc], "focal_std": np.sqrt(var)[rr, cc]})
         return out.astype(object).where(out.notna(), None)
 
-    return dealt.groupBy("tr", "tc").applyInPandas(run, "r long, c long, z double, focal_n long, focal_sum double, focal_mean double, focal_std double")
+    return by_tiles(cells.select("r", "c", "z"), reach, kernel, "r long, c long, z double, focal_n long, focal_sum double, focal_mean double, focal_std double", tile)
 
 
 def canopy(z: Column, threshold: float, strict: bool = True) -> Column:
@@ -83,7 +122,18 @@ def canopy(z: Column, threshold: float, strict: bool = True) -> Column:
 
 def smooth_term(cells: DataFrame, reach: float, flag: str = "canopy") -> DataFrame:
     """(r, c, smooth): max(0, reach - distance to the nearest flagged cell) / reach; only cells within reach can count."""
-    near = spread(cells.filter(F.col(flag) == 1).select("r", "c", F.lit(1.0).alias("z")), [o for o in disc(reach) if o[2] <= reach])
+    offsets = [o for o in disc(reach) if o[2] <= reach]
+    flagged = cells.filter(F.col(flag) == 1).select("r", "c", F.lit(1.0).alias("z"))
+    if len(offsets) > TILED:
+        far = int(reach)
+
+        def kernel(there, columns, r0, c0, core) -> pd.DataFrame:
+            d = flag_distance(there, reach)[core, core]
+            rr, cc = np.nonzero(d <= reach)
+            return pd.DataFrame({"r": rr + r0 + far, "c": cc + c0 + far, "smooth": np.maximum(0.0, reach - d[rr, cc]) / reach})
+
+        return by_tiles(flagged, far, kernel, "r long, c long, smooth double")
+    near = spread(flagged, offsets)
     return near.groupBy("r", "c").agg((F.greatest(F.lit(0.0), reach - F.min("d")) / reach).alias("smooth"))
 
 
@@ -106,6 +156,17 @@ def cost(cells: DataFrame, threshold: float = 1.0, radius: float = 3.0, reach: f
 def morph(cells: DataFrame, reach: int, widen: bool) -> DataFrame:
     """(r, c, z): grey dilation or erosion over a square of 2 * reach + 1 cells; nodata isn't seen and stays."""
     offsets = [(i, j, 0.0) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1)]
+    if len(offsets) > TILED:
+        pick = np.fmax if widen else np.fmin
+
+        def kernel(there, columns, r0, c0, core) -> pd.DataFrame:
+            z = columns["z"]
+            for way in ((1, 0), (0, 1)):  # rows, then columns
+                z = pick.reduce([shifted(z, way[0] * k, way[1] * k, np.nan) for k in range(-reach, reach + 1)])
+            rr, cc = np.nonzero(~np.isnan(columns["z"][core, core]))
+            return pd.DataFrame({"r": rr + r0 + reach, "c": cc + c0 + reach, "z": z[core, core][rr, cc]})
+
+        return by_tiles(cells.select("r", "c", "z"), reach, kernel, "r long, c long, z double")
     own = spread(cells, offsets)
     best = F.max("v") if widen else F.min("v")
     seen = own.groupBy("r", "c").agg(best.alias("best"), F.max(F.when((F.col("i") == 0) & (F.col("j") == 0), F.col("v"))).alias("z"))

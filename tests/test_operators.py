@@ -294,3 +294,25 @@ def test_entry_without_corpus_modules():
     code = "import sys; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; q = e.queries(); assert 't12_line_attributes' in q and 'pipeline' not in q; e.oracle_sql()"
     root = str(__import__("pathlib").Path(__file__).resolve().parents[1])
     assert subprocess.run([sys.executable, "-c", code], cwd=root, timeout=120).returncode == 0
+
+
+def test_wide_stencils_by_tiles(spark):
+    """Stencils that go by tiles, over the borders of tiles, against brute force."""
+    rng = random.Random(8)
+    spots = {(r, c): None if rng.random() < 0.1 else rng.choice([0.0, 3.0, 7.0, rng.uniform(0, 9)]) for r in range(248, 266) for c in range(-12, 12)}
+    df = spark.createDataFrame([(r, c, v) for (r, c), v in spots.items()], "r long, c long, z double")
+    tall = {k for k, v in spots.items() if v is not None and v > 6}
+    mask = df.withColumn("canopy", F.when(F.col("z").isNull(), None).otherwise((F.col("z") > 6).cast("int")))
+    got = {(r.r, r.c): r.smooth for r in raster.smooth_term(mask, 5.0).collect()}
+    for k in spots:
+        d = min(math.dist(k, t) for t in tall)
+        assert got.get(k, 0.0) == pytest.approx(max(0.0, 5 - d) / 5)
+    for widen, best in ((True, max), (False, min)):
+        got = {(r.r, r.c): r.z for r in raster.morph(df, 4, widen).collect()}
+        want = {(r, c): best(v for (p, q), v in spots.items() if v is not None and abs(p - r) <= 4 and abs(q - c) <= 4) for (r, c), own in spots.items() if own is not None}
+        assert got == want
+    window = 2 + F.col("z") / 2
+    got = {(r.r, r.c) for r in lidar.tree_tops(df, window, 2.0, 5).collect()}
+    high = {k: v for k, v in spots.items() if v is not None and v > 2}
+    want = {k for k, v in high.items() if not any(0 < math.dist(k, o) <= (2 + v / 2) / 2 and (w, -o[0], -o[1]) > (v, -k[0], -k[1]) for o, w in high.items())}
+    assert got == want and raster.morph(df.limit(0), 4, True).count() == 0
