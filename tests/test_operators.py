@@ -316,3 +316,23 @@ def test_wide_stencils_by_tiles(spark):
     high = {k: v for k, v in spots.items() if v is not None and v > 2}
     want = {k for k, v in high.items() if not any(0 < math.dist(k, o) <= (2 + v / 2) / 2 and (w, -o[0], -o[1]) > (v, -k[0], -k[1]) for o, w in high.items())}
     assert got == want and raster.morph(df.limit(0), 4, True).count() == 0
+
+
+def test_transect_widths_take_the_length_as_given_and_largest_boxes(spark):
+    import math
+
+    turn = 0.3  # 20 * cos and 20 * sin, squared and added, have no root of exactly 20
+    cuts = spark.createDataFrame([(1, k, 10 * math.cos(t), 10 * math.sin(t), -10 * math.cos(t), -10 * math.sin(t)) for k, t in enumerate((turn, 1.1, 2.3, 0.7))] + [(2, 0, 500.0, 500.0, 510.0, 510.0)], "line_id long, seq long, ax double, ay double, bx double, by double").withColumn("span", F.lit(20.0))
+    boxes = spark.createDataFrame([(1, -50, -50, 50, 50), (2, -50, -50, 50, 50), (3, -5, -5, 5, 5)], "id long, x0 long, y0 long, x1 long, y1 long")
+    widths = linear.transect_widths(cuts, boxes)
+    assert {(r.line_id, r.seq): r.width for r in widths.collect()} == {(1, k): 20.0 for k in range(4)} | {(2, 0): 0.0}
+    assert linear.width_histogram(widths).count() == 1
+
+
+def test_maximal_boxes(spark):
+    from lineament.operators.spatial_join import maximal_boxes
+
+    rows = [(k * 17 % 23, k * 29 % 31, k * 17 % 23 + 2 + k % 7, k * 29 % 31 + 2 + k % 5) for k in range(300)]
+    got = {tuple(r) for r in maximal_boxes(spark.createDataFrame(rows, "x0 long, y0 long, x1 long, y1 long")).collect()}
+    inside = lambda p, q: p != q and q[0] <= p[0] and q[1] <= p[1] and p[2] <= q[2] and p[3] <= q[3]
+    assert got == {p for p in set(rows) if not any(inside(p, q) for q in rows)}
