@@ -336,3 +336,33 @@ def test_maximal_boxes(spark):
     got = {tuple(r) for r in maximal_boxes(spark.createDataFrame(rows, "x0 long, y0 long, x1 long, y1 long")).collect()}
     inside = lambda p, q: p != q and q[0] <= p[0] and q[1] <= p[1] and p[2] <= q[2] and p[3] <= q[3]
     assert got == {p for p in set(rows) if not any(inside(p, q) for q in rows)}
+
+
+@pytest.mark.parametrize("most", [10, 5])
+def test_rings_by_tiles_like_pairs(spark, monkeypatch, most):
+    from lineament.operators import homes
+
+    monkeypatch.setattr(homes, "MOST", most)  # with 5, larger lines go through the join
+    rng = random.Random(5)
+    grid = [[None if rng.random() < 0.1 else rng.randrange(30) for _ in range(70)] for _ in range(75)]
+    lines = []
+    for _ in range(40):
+        x, y = rng.uniform(-5, 70), rng.uniform(-5, 70)
+        lines.append([(x, y)] + [(x + rng.randrange(-9, 9), y + rng.randrange(-9, 9)) for _ in range(rng.randrange(1, 6))])
+    c, s = cells(spark, grid), linear.segments(vertices(spark, *lines, [(5, 5), (5, 5)], [(-200, 5), (-190, 5)]))
+    s.sparkSession.conf.set("spark.sql.shuffle.partitions", "4")
+    want = linear.ring_medians(linear.rings(c, s, 4))
+    got = linear.line_ring_medians(c, s, 4)
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    assert rows(got) == rows(want)
+    cut = {(r.line_id, r.side): (r.cut_dist, r.cut_ht) for r in linear.first_change(want, 4).collect()}
+    for r in linear.relative_thresholds(c, s, 4).collect():
+        for side, ht, dist in ((1, r.CL_CutHt, r.LDist_Cut), (-1, r.CR_CutHt, r.RDist_Cut)):
+            assert cut.pop((r.line_id, side), (None, None)) == (dist, ht)
+    assert not cut
+
+
+def test_rings_make_no_row_for_a_line_and_a_cell(spark):
+    c, s = cells(spark, [[1.0] * 40] * 40), linear.segments(vertices(spark, *[[(20, 20 + k / 100), (22, 21)] for k in range(50)]))
+    plan = linear.line_ring_medians(c, s, 15)._jdf.queryExecution().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "percentile" not in plan
