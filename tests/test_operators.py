@@ -366,3 +366,46 @@ def test_rings_make_no_row_for_a_line_and_a_cell(spark):
     c, s = cells(spark, [[1.0] * 40] * 40), linear.segments(vertices(spark, *[[(20, 20 + k / 100), (22, 21)] for k in range(50)]))
     plan = linear.line_ring_medians(c, s, 15)._jdf.queryExecution().toString()
     assert "FlatMapCoGroupsInArrow" in plan and "percentile" not in plan
+
+
+def test_stacked_searches_like_a_heap():
+    rng = np.random.default_rng(3)
+    clipped = []
+    for k in range(60):
+        g = rng.integers(1, 4, rng.integers(1, 9, 2)).astype(float)  # many ties
+        g[rng.random(g.shape) < 0.2] = np.nan
+        if k % 20 == 19:
+            g[0, 0] = 0.0
+        spot = lambda: tuple(int(v) for v in rng.integers(0, g.shape))
+        clipped.append(paths.Clip(g, 0, 0, spot(), spot(), {}))
+    for c, got, total in zip(clipped, paths.least_cost_paths_of(clipped), paths.corridors_of(clipped)):
+        assert got == paths.least_cost_path(c.g, c.a, c.b)
+        assert np.array_equal(total, paths.corridor(c.g, c.a, c.b))
+
+
+def test_corridor_footprints_return_their_outlines(spark):
+    df = registry.queries()["t02_corridor_footprints"](spark, "/root/testdata/sf0.001")
+    rows = df.filter("area > 0").limit(50).collect()
+    for r in rows:
+        rings = [[(p.x, p.y) for p in ring] for ring in r.rings]
+        assert len(rings) == r.n_rings and len(r.centre) == r.n_centre
+        area = sum(x1 * y2 - x2 * y1 for ring in rings for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1])) / 2
+        assert abs(area) == r.area
+
+
+@pytest.mark.parametrize("most", [10, 5])
+def test_clips_by_tiles_like_pairs(spark, monkeypatch, most):
+    from lineament.operators import homes
+
+    monkeypatch.setattr(homes, "MOST", most)
+    rng = random.Random(8)
+    c = cells(spark, [[None if rng.random() < 0.1 else 1 + rng.randrange(4) for _ in range(60)] for _ in range(60)]).withColumnRenamed("z", "cost").filter("r > 3 and c < 55")
+    rows = [(k, rng.uniform(-3, 62), rng.uniform(-3, 62)) for k in range(40)]
+    lines = spark.createDataFrame([(k, x, y, x + rng.uniform(-40, 40), y + rng.uniform(-9, 9)) for k, x, y in rows], "line_id long, x1 double, y1 double, x2 double, y2 double")
+    got = {r.line_id: (r.path_cost, [tuple(p) for p in r.path]) for r in paths.least_cost_paths(c, lines, 2.0).collect()}
+    want = {}
+    for k, pdf in paths.clips(c, lines, 2.0).toPandas().groupby("line_id"):
+        g, r0, c0, a, b = paths._grid(pdf)
+        path, total = paths.least_cost_path(g, a, b)
+        want[k] = (total, [(i + r0, j + c0) for i, j in path])
+    assert got == want
