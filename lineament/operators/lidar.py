@@ -54,16 +54,21 @@ def gap_fraction(total: DataFrame, ground: DataFrame, angle: float) -> DataFrame
 
 def ground_height(points: DataFrame, at: DataFrame, k: int = 3, reach: float = 5.0, power: float = 2.0) -> DataFrame:
     """at (id, x, y) with the inverse-distance mean of the k nearest ground returns within reach; null without one."""
-    g = points.filter("cls = 2").select(F.col("x").alias("gx"), F.col("y").alias("gy"), F.col("z").alias("gz"))
+    g = points.filter("cls = 2").groupBy(F.col("x").alias("gx"), F.col("y").alias("gy"), F.col("z").alias("gz")).agg(F.count("*").alias("n"))
+    # of one place's returns the k lowest are enough, as it orders equals by height
+    low = Window.partitionBy("gx", "gy").orderBy("gz").rowsBetween(Window.unboundedPreceding, -1)
+    g = g.withColumn("before", F.coalesce(F.sum("n").over(low), F.lit(0))).filter(F.col("before") < k).withColumn("n", F.least("n", k - F.col("before"))).drop("before")
+    g = g.withColumn("one", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).drop("n", "one")
     b = lambda c: F.floor(F.col(c) / reach).cast("long")
     g = g.withColumn("bx", b("gx")).withColumn("by", b("gy"))
     around = lambda c: F.explode(F.transform(F.expr("sequence(-1, 1)"), lambda i: F.floor(F.col(c) / reach).cast("long") + i))
-    near = at.withColumn("bx", around("x")).withColumn("by", around("y")).join(g, ["bx", "by"])
+    places = at.select("x", "y").distinct()  # what stands on one place has one height
+    near = places.withColumn("bx", around("x")).withColumn("by", around("y")).join(g, ["bx", "by"])
     near = near.withColumn("d", F.sqrt((F.col("x") - F.col("gx")) ** 2 + (F.col("y") - F.col("gy")) ** 2)).filter(F.col("d") <= reach)
-    top = near.withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy("d", "gz", "gx", "gy"))).filter(F.col("k") <= k)
+    top = near.withColumn("k", F.row_number().over(Window.partitionBy("x", "y").orderBy("d", "gz", "gx", "gy"))).filter(F.col("k") <= k)
     w = 1 / F.pow(F.greatest("d", F.lit(1e-6)), F.lit(power))
-    found = top.groupBy("id").agg((F.sum(w * F.col("gz")) / F.sum(w)).alias("ground"))
-    return at.join(found, "id", "left")
+    found = top.groupBy("x", "y").agg((F.sum(w * F.col("gz")) / F.sum(w)).alias("ground"))
+    return at.join(found, ["x", "y"], "left").select(*at.columns, "ground")
 
 
 def tree_tops(cells: DataFrame, window: Column, least: float, most: int) -> DataFrame:

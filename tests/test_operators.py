@@ -409,3 +409,28 @@ def test_clips_by_tiles_like_pairs(spark, monkeypatch, most):
         path, total = paths.least_cost_path(g, a, b)
         want[k] = (total, [(i + r0, j + c0) for i, j in path])
     assert got == want
+
+
+def test_copies_of_points_and_boxes_are_met_once(spark):
+    from lineament.operators.spatial_join import counts_in_boxes, near_pairs, near_places
+
+    rng = random.Random(2)
+    rows = [(k, float(rng.randrange(12)), float(rng.randrange(12))) for k in range(400)]
+    p = spark.createDataFrame([*rows, (900, None, 1.0), (901, None, 1.0)], "id long, x double, y double")
+    members, pairs = near_places(p, 1.2)
+    assert pairs.count() < near_pairs(p, "id", 1.2).count() / 4  # pairs of places, not of points
+    c = components(pairs)
+    got = {r.id: r.cluster for r in members.join(c, members.place == c.node, "left").select("id", F.coalesce("component", "place").alias("cluster")).collect()}
+    alone = components(near_pairs(p, "id", 1.2)).collect()
+    assert got == {r[0]: r[0] for r in p.collect()} | {r.node: r.component for r in alone}
+    boxes = [(k, k % 5, k % 3, k % 5 + 4, k % 3 + 4) for k in range(60)]
+    n = {r.id: r.points for r in counts_in_boxes(p, spark.createDataFrame(boxes, "id long, x0 long, y0 long, x1 long, y1 long")).collect()}
+    assert n == {b[0]: sum(b[1] <= x < b[3] and b[2] <= y < b[4] for _, x, y in rows) for b in boxes}
+
+
+def test_ground_of_many_returns_on_one_place(spark):
+    pts = [(0.0, 0.0, z, 2) for z in (3.0, 1.0, 1.0, 2.0, 9.0)] * 2 + [(1.0, 0.0, 5.0, 2)]
+    g = spark.createDataFrame(pts, "x double, y double, z double, cls int")
+    at = spark.createDataFrame([(1, 0.5, 2.0), (2, 0.5, 2.0), (3, 50.0, 0.0)], "id long, x double, y double")
+    got = {r.id: r.ground for r in lidar.ground_height(g, at).collect()}
+    assert got == {1: pytest.approx(1.0), 2: pytest.approx(1.0), 3: None}
