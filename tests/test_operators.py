@@ -434,3 +434,8 @@ def test_ground_of_many_returns_on_one_place(spark):
     at = spark.createDataFrame([(1, 0.5, 2.0), (2, 0.5, 2.0), (3, 50.0, 0.0)], "id long, x double, y double")
     got = {r.id: r.ground for r in lidar.ground_height(g, at).collect()}
     assert got == {1: pytest.approx(1.0), 2: pytest.approx(1.0), 3: None}
+
+
+def test_covered_lines_are_not_sorted_by_polygon(spark):
+    plan = registry.queries()["j02_covered_by"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "Window" not in plan
