@@ -215,7 +215,7 @@ def _recursive(sql: str) -> str:
 def d05_components(spark, sf_dir):
     """Connected components of lines that share an end vertex."""
     ends = network.snapped(network.line_ends(views.vertices(spark, sf_dir)))
-    return network.groups(ends.select("line_id").distinct(), network.vertex_edges(ends)).withColumnRenamed("group", "component")
+    return network.vertex_groups(ends).withColumnRenamed("group", "component")
 
 
 _PAIRS = (

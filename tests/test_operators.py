@@ -439,3 +439,36 @@ def test_ground_of_many_returns_on_one_place(spark):
 def test_covered_lines_are_not_sorted_by_polygon(spark):
     plan = registry.queries()["j02_covered_by"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "Window" not in plan
+
+
+@pytest.mark.parametrize("kept", [3 << 20, 20])
+def test_groups_and_components_like_joins(spark, monkeypatch, kept):
+    """Stars in the task, many tasks' and one's, and joins where no task may hold the nodes, give the same."""
+    from lineament.operators import graph
+
+    rng = random.Random(9)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(i, i + 1) for i in range(1000, 1040)] + [(5, 5), (2000, 2000)]
+    df = spark.createDataFrame(edges, "a long, b long").repartition(4)
+    want = {r.node: r.component for r in graph.labelled(df).collect()}
+    monkeypatch.setattr(graph, "KEPT", kept)
+    assert {r.node: r.component for r in graph.components(df).collect()} == want
+    v = vertices(spark, *([(rng.randrange(6), rng.randrange(6)), (rng.randrange(6) + 7, rng.randrange(6))] for _ in range(40)))
+    ends = network.snapped(network.line_ends(v))
+    ids = ends.select("line_id").distinct()
+    for got, pairs in ((network.vertex_groups(ends), network.vertex_edges(ends)), (network.angle_groups(ends), network.connected_pairs(ends))):
+        assert {r.line_id: r.group for r in got.collect()} == {r.line_id: r.group for r in network.groups(ids, pairs).collect()}
+
+
+def test_a_group_is_merged_by_chains(spark, monkeypatch):
+    """One group of many chains goes to tasks by chain: no call of the kernel sees a line that goes on into none, and parts are counted in order."""
+    rows = [[(10 * k, 0), (10 * k + 5, 0)] for k in range(40)] + [[(10 * k + 5, 0), (10 * k + 7, 0)] for k in range(0, 40, 4)] + [[(0, 50), (5, 50)], [(5, 50), (5, 60)], [(5, 60), (0, 50)]]
+    v = vertices(spark, *rows)
+    g = spark.createDataFrame([(k, 0) for k in range(len(rows))], "line_id long, group long")
+    monkeypatch.setattr(network, "LINES", 4)
+    out = {r.part: r for r in network.merged(v, g).collect()}
+    assert sorted(out) == list(range(41))
+    for k in range(40):
+        assert (out[k].n_vertices, out[k].length) == ((3, 7.0) if k % 4 == 0 else (2, 5.0))
+    assert out[40].n_vertices == 4 and out[40].length == pytest.approx(15 + math.sqrt(125))
+    parts = network.merged_parts(v, g)
+    assert sorted(map(tuple, (r.line_ids for r in parts.collect())))[-1] == (50, 51, 52)
