@@ -251,7 +251,7 @@ def a20_vertex_classes(spark, sf_dir):
 def t05_line_groups(spark, sf_dir):
     """Groups of lines connected by the angle rule."""
     ends = network.snapped(network.line_ends(views.vertices(spark, sf_dir)))
-    return network.groups(ends.select("line_id").distinct(), network.connected_pairs(ends))
+    return network.angle_groups(ends)
 
 
 @query()
