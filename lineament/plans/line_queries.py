@@ -259,4 +259,4 @@ def d07_merged_lines(spark, sf_dir):
     """Each group's lines merged end to end."""
     v = views.vertices(spark, sf_dir)
     ends = network.snapped(network.line_ends(v))
-    return network.merged(v, network.groups(ends.select("line_id").distinct(), network.connected_pairs(ends))).withColumn("length", F.round("length", 5))
+    return network.merged(v, network.angle_groups(ends)).withColumn("length", F.round("length", 5))
