@@ -172,7 +172,8 @@ SELECT line_id, k AS part, round(CASE WHEN n = 0 THEN len ELSE least(3, len - 3
 )
 def g17_cut_lines(spark, sf_dir):
     """Lines cut every 3 units, whole where the rest is under 1."""
-    cut = linear.cut_every(linear.measured(views.vertices(spark, sf_dir)), 3.0)
+    v = views.vertices(spark, sf_dir, rows_a_task=500_000)
+    cut = linear.cut_every(linear.measured(v), 3.0)
     d = F.sqrt((F.col("x2") - F.col("x1")) ** 2 + (F.col("y2") - F.col("y1")) ** 2)
     return cut.groupBy("line_id", "part").agg(F.round(F.sum(d), 5).alias("part_length"))
 

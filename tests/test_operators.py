@@ -488,3 +488,13 @@ def test_copies_of_boxes_are_overlaid_once(spark):
     assert sorted(map(tuple, spatial_join.overlapping_boxes(df).collect())) == want
     plan = join_queries.g31_crossings(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "hashpartitioning(__lx" not in plan
+
+
+def test_tasks_grow_with_vertices(spark):
+    """A task's rows are bounded: more vertices give more tasks, and the lines stay whole in one."""
+    from lineament.sources import views
+
+    v = views.vertices(spark, "/root/testdata/sf0.001", rows_a_task=500)
+    assert v.rdd.getNumPartitions() >= 12
+    assert v.withColumn("p", F.spark_partition_id()).groupBy("line_id").agg(F.countDistinct("p").alias("n")).filter("n > 1").count() == 0
+    assert v.exceptAll(views.vertices(spark, "/root/testdata/sf0.001")).count() == 0
